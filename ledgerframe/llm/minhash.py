@@ -3,12 +3,14 @@
 Words are runs of bytes other than white space, A-Z in lower case; a document's set has its distinct shingles of SHINGLE words.
 Documents with one set form a class, held by its smallest doc_id, so that exact copies cost one row each. Class holders get
 ROWS * BANDS MinHash values. Holders that agree on a band are candidates; their odd sketches (a bitmap in which each MinHash value
-flips one bit, so that the population count of an XOR is at most the number of values that differ) drop candidates which a pair
-of similarity THRESHOLD all but never gives (chance under 1e-9); the rest is confirmed on full sets, made anew from the texts.
-
-No bucket is expanded into all its pairs. First each member is compared with two hubs of its bucket (smallest, largest holder)
-and the confirmed links are contracted to components; then only members of one bucket that are in different components are
-compared, which covers every pair a link between which could still change a component. Buckets are spread over tasks by a join
+flips one bit, so that the population count of an XOR follows the number of values that differ) drop candidates which a pair
+of similarity THRESHOLD all but never gives (chance about 1e-8); the rest is confirmed on full sets, made anew from the texts.
+
+No bucket is expanded into all its pairs. First its members are compared with one hub, the member with most candidates
+(so nearest to the middle of a group of copies), and confirmed links are contracted to components. In DEALS rounds the members of buckets
+that hold several components are dealt into groups of about two, anew in each bucket and round, and compared there; most copies of
+a group are joined so at a cost in proportion to their number. Only members of one bucket that are still in different components are
+then compared with each other, where sketches allow; pairs in one component can't change it. Buckets are spread over tasks by joins
 that Spark splits when skewed; components are found by rounds of partial aggregation.
 
 A pair at the threshold is missed by all bands with chance (1 - 0.8^4)^24 = 3e-6. Null or empty texts, or texts of white space:
@@ -25,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, slices, table, wide
+from .common import components, cut, slices, table
 from .hashing import CASELESS, joined, mix, prefix, spans, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BITS = 2, 80, 24, 4, 512
-#: Of BANDS * ROWS MinHash values, at most so many differ between two sets of similarity 0.8, but for a chance under 1e-9.
-DIFFER = 44
+#: At most so many bits of two odd sketches differ at similarity 0.8, but for a chance of about 1e-8.
+FLIPPED = 77
+#: Rounds in which the members of a bucket that are in different components are dealt into small groups at random.
+DEALS = 4
 _INSIDE = np.ones(256, bool)
 _INSIDE[[32, 9, 10, 11, 12, 13]] = False
 
@@ -108,11 +112,15 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>")
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, tasks: int) -> DataFrame:
+def _near(a: str, b: str) -> str:
+    """SQL for whether two rows' sketches and set sizes allow the threshold."""
+    differ = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(BITS // 64))
+    return f"100 * least({a}.n_shingles, {b}.n_shingles) >= {THRESHOLD} * greatest({a}.n_shingles, {b}.n_shingles) and {differ} <= {FLIPPED}"
+
+
+def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Of distinct pairs (a, b), those whose sketches allow and whose full sets confirm the threshold."""
-    side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
-    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64)), F.lit(0))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((differ <= 2 * DIFFER) & (100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")))
+    near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.doc_id")).join(sketches.alias("y"), (F.col("b") == F.col("y.doc_id")) & F.expr(_near("x", "y")))
     near = cut(near.select("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,28 +150,48 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int,
 def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text); shingles of n words."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    tasks = wide(docs)
     rows = cut(signatures(docs, n))
     real = rows.where("doc_id is not null and n_shingles > 0")
     classes = cut(real.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x")).select("h1", "h2", "x.*"))
     holders = classes.select("doc_id", "n_shingles", "sketch")
     banded = classes.select(F.explode("bands").alias("key"), "doc_id")
-    hubs = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    members = cut(banded.join(hubs, "key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(banded.join(shared, "key"))
+    rank = members.groupBy("doc_id").agg(F.sum("n").alias("p"))  # the more candidates, the nearer to a group's middle
+    labelled = cut(members.join(rank, "doc_id").select("key", "n", "doc_id", "p", F.col("doc_id").alias("c")))
     texts = docs.where("doc_id is not null").join(classes.select("doc_id"), "doc_id", "left_semi")
-    star = members.select(F.explode(F.array("low", "high")).alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _confirmed(star, holders, texts, n, tasks)
-    found = cut(components(links))
-    labelled = cut(members.join(found, members.doc_id == found.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c")))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("k")).where("x < y and k > 2").select("key")
-    left = labelled.join(mixed, "key")
-    pair = left.alias("p").join(left.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.c") != F.col("q.c")))
-    more = pair.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    extra = _confirmed(more, holders, texts, n, tasks)
-    if not extra.isEmpty():
-        found = cut(components(links.union(extra)))
-    named = classes.select("h1", "h2", F.col("doc_id").alias("holder")).join(found, F.col("holder") == found.node, "left")
+    hub = F.max(F.struct("p", (-F.col("doc_id")).alias("id"), "c")).alias("hub")
+    label = tested = None
+    for k in range(DEALS + 2):
+        if k == 0:
+            pairs = labelled.join(labelled.groupBy("key").agg(hub), "key").where("c <> hub.c").select(F.col("doc_id").alias("a"), (-F.col("hub.id")).alias("b"))
+        else:
+            mixed = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
+            labelled = cut(labelled.join(mixed, "key"))
+            slots = F.greatest(F.expr("n div 2"), F.lit(1)) if k <= DEALS else F.lit(1)
+            left = labelled.withColumn("slot", F.pmod(F.xxhash64("doc_id", "key", F.lit(k)), slots)).join(holders, "doc_id")
+            near = F.expr(f"{_near('p', 'q')} and p.key = q.key and p.slot = q.slot and p.doc_id < q.doc_id and p.c <> q.c")
+            pairs = left.alias("p").join(left.alias("q"), near).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+        if pairs.isEmpty():
+            continue
+        links = _confirmed(pairs, holders, texts, n)
+        if label is not None:  # links between components found so far
+            for side in ("a", "b"):
+                links = links.join(label, links[side] == label.node, "left").withColumn(side, F.coalesce("component", side)).drop("node", "component")
+        more = cut(components(links))
+        if more.isEmpty():
+            continue
+        if label is None:
+            label = more
+        else:  # the old components' new ones, and the new ones of documents that were alone
+            moved = label.alias("l").join(more.alias("m"), F.col("l.component") == F.col("m.node"), "left").select("l.node", F.coalesce("m.component", "l.component").alias("component"))
+            label = cut(moved.union(more.join(label, "node", "left_anti")))
+        labelled = labelled.drop("c").join(label, labelled.doc_id == label.node, "left").select("key", "n", "doc_id", "p", F.coalesce("component", "doc_id").alias("c"))
+    label = classes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0) if label is None else label
+    named = classes.select("h1", "h2", F.col("doc_id").alias("holder")).join(label, F.col("holder") == label.node, "left")
     named = named.select("h1", "h2", F.coalesce("component", "holder").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2", F.expr("if(n_shingles > 0, h1, null)").alias("k1")).alias("r")
     out = out.join(named.alias("c"), (F.col("r.k1") == F.col("c.h1")) & (F.col("r.h2") == F.col("c.h2")), "left")

@@ -118,7 +118,7 @@ def _sql_level(level: str, parent: list[str], up: str) -> str:
 
 
 SQL = f"""with d as (select doc_id, text, lang, source, ['web', 'reference', 'forum'][(coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) as int), 0) % 3) + 1] as domain, coalesce(lang, '') tree_lang, coalesce(source, '') tree_source,
- len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), w -> w <> ''))::bigint n_tokens from documents),
+ len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> ''))::bigint n_tokens from documents),
 leaves as (select domain, tree_lang, tree_source, sum(n_tokens)::bigint leaf_tokens from d group by all),
 {_sql_level("domain", [], "")},
 {_sql_level("tree_lang", ["domain"], "domain_b")},

@@ -26,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op6_mixing": mixing.SQL,
     "op5_embedding_dedup": """with recursive v as (select vec_id, embedding::double[] x from embeddings),
- u as (select * from v where x is not null and len(list_filter(x, c -> c is null or isnan(c) or isinf(c))) = 0 and len(list_filter(x, c -> c <> 0)) > 0),
+ u as (select * from v where x is not null and len(list_filter(x, lambda c: c is null or isnan(c) or isinf(c))) = 0 and len(list_filter(x, lambda c: c <> 0)) > 0),
  e as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= 0.95),
  r as (select vec_id a, vec_id b from v union select r.a, e.b from r join e on r.b = e.a),
  c as (select a, min(b) component_id from r group by a),
