@@ -1,10 +1,5 @@
 """Named queries over the standard tables, each with the same query in ANSI SQL."""
 
-from __future__ import annotations
+from .catalog import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
