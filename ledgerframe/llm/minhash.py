@@ -10,7 +10,7 @@ No bucket is expanded into all its pairs. First its members are compared with on
 (so nearest to the middle of a group of copies), and confirmed links are contracted to components. In DEALS rounds the members of buckets
 that hold several components are dealt into groups of about two, anew in each bucket and round, and compared there; most copies of
 a group are joined so at a cost in proportion to their number. Only members of one bucket that are still in different components are
-then compared with each other, where sketches allow; pairs in one component can't change it. Buckets are spread over tasks by joins
+then compared with each other, block by block and without a row for a pair; pairs in one component can't change it. Buckets are spread over tasks by joins
 that Spark splits when skewed; components are found by rounds of partial aggregation.
 
 A pair at the threshold is missed by all bands with chance (1 - 0.8^4)^24 = 3e-6. Null or empty texts, or texts of white space:
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS, BITS = 2, 80, 24, 4, 512
 FLIPPED = 77
 #: Rounds in which the members of a bucket that are in different components are dealt into small groups at random.
 DEALS = 4
+#: Members of a bucket that are compared with each other at once, at most about twice so many.
+BLOCK = 1024
 _INSIDE = np.ones(256, bool)
 _INSIDE[[32, 9, 10, 11, 12, 13]] = False
 
@@ -147,6 +150,58 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int)
     return cut(near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
+def _flipped(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which each of sketches a differs from each of b."""
+    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+
+
+def _rest(labelled: DataFrame, holders: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components; of a member's links to one component, one.
+
+    A bucket is cut into blocks of about BLOCK members and two blocks at a time are compared; pairs aren't rows anywhere. First
+    sketches alone tell which members may have a partner; only their texts are then brought together.
+    """
+    blocks = labelled.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    rows = labelled.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "doc_id", "c")
+    by = ["key", "lo", "hi"]
+
+    def may(x: pd.DataFrame) -> pd.DataFrame:
+        sketch, size, c = np.stack(x["sketch"]).view(np.uint64), x["n_shingles"].to_numpy(), x["c"].to_numpy()
+        keep = np.zeros(len(x), bool)
+        for at in range(0, len(x), 256):
+            own = slice(at, at + 256)
+            fits = (c[own, None] != c[None, :]) & (100 * np.minimum(size[own, None], size[None, :]) >= THRESHOLD * np.maximum(size[own, None], size[None, :]))
+            if fits.any():
+                fits &= _flipped(sketch[own], sketch) <= FLIPPED
+                keep[own] |= fits.any(1)
+                keep |= fits.any(0)
+        return x.loc[keep, [*by, "doc_id", "c"]]
+
+    def compare(x: pd.DataFrame) -> pd.DataFrame:
+        ids, c = x["doc_id"].to_numpy(), x["c"].to_numpy()
+        sh, first = shingles([t.encode() for t in x["text"]], n)
+        size = np.diff(first)
+        _, number = np.unique(sh, return_inverse=True)
+        holder = np.repeat(np.arange(len(x)), size)[np.argsort(number, kind="stable")]
+        start = np.concatenate([[0], np.cumsum(np.bincount(number))])
+        names, count = np.unique(c, return_counts=True)
+        a, b = [], []
+        for i in np.flatnonzero(c != names[np.argmax(count)]):  # the largest component's members are met by all others
+            own = number[first[i] : first[i + 1]]
+            k = start[own + 1] - start[own]
+            both = np.bincount(holder[np.repeat(start[own] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))], minlength=len(x))
+            linked = np.flatnonzero((100 * both >= THRESHOLD * (size[i] + size - both)) & (c != c[i]))
+            linked = linked[np.unique(c[linked], return_index=True)[1]]
+            a += [ids[i]] * len(linked)
+            b += ids[linked].tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    some = rows.join(holders, "doc_id").groupBy(*by).applyInPandas(may, "key long, lo long, hi long, doc_id long, c long")
+    return cut(cut(some).join(texts, "doc_id").groupBy(*by).applyInPandas(compare, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text); shingles of n words."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -168,16 +223,20 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         else:
             mixed = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
             labelled = cut(labelled.join(mixed, "key"))
-            slots = F.greatest(F.expr("n div 2"), F.lit(1)) if k <= DEALS else F.lit(1)
-            left = labelled.withColumn("slot", F.pmod(F.xxhash64("doc_id", "key", F.lit(k)), slots)).join(holders, "doc_id")
-            near = F.expr(f"{_near('p', 'q')} and p.key = q.key and p.slot = q.slot and p.doc_id < q.doc_id and p.c <> q.c")
-            pairs = left.alias("p").join(left.alias("q"), near).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        if pairs.isEmpty():
-            continue
-        links = _confirmed(pairs, holders, texts, n)
+            if k > DEALS:
+                links = _rest(labelled, holders, texts, n)
+                pairs = None
+            else:
+                left = labelled.withColumn("slot", F.pmod(F.xxhash64("doc_id", "key", F.lit(k)), F.greatest(F.expr("n div 2"), F.lit(1)))).join(holders, "doc_id")
+                near = F.expr(f"{_near('p', 'q')} and p.key = q.key and p.slot = q.slot and p.doc_id < q.doc_id and p.c <> q.c")
+                pairs = left.alias("p").join(left.alias("q"), near).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
+        if pairs is not None:
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
+            tested = pairs if tested is None else tested.union(pairs)
+            if pairs.isEmpty():
+                continue
+            links = _confirmed(pairs, holders, texts, n)
         if label is not None:  # links between components found so far
             for side in ("a", "b"):
                 links = links.join(label, links[side] == label.node, "left").withColumn(side, F.coalesce("component", side)).drop("node", "component")
