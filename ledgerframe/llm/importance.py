@@ -8,7 +8,7 @@ and the k documents with the largest sums are kept: a sample without replacement
 k is the number of documents whose weight is at least the threshold that divides the labelled rows best, so it follows the
 corpus and isn't a cap. The k-th sum is found by counting sums in intervals, then by sorting the one interval that holds it.
 
-Two map-only passes over documents; a task sends one row per bucket. Null or empty text: no features, and
+Two map-only passes over documents; a task sends one row for 2048 buckets. Null or empty text: no features, and
 such a document is rejected (kept false, weight null). Null doc_id: as id -1 for the variate. Ties of a sum: smaller
 doc_id first; repeated rows are decided alike. Without labelled good and bad rows all documents with text are kept. Extra
 columns are ignored.
@@ -19,8 +19,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, slices, table
@@ -53,21 +54,27 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buckets.astype(np.int64), np.concatenate([doc, doc[:m][near], doc[:m][near]])
 
 
-def counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in all texts; BUCKETS rows come to the driver."""
+def counts(docs: DataFrame, at_once: int = 1 << 11) -> np.ndarray:
+    """How often each bucket occurs in all texts: each task sends a row for at_once buckets, and so many rows come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for _, texts in slices(batch.column("text").to_pylist(), 2 << 20):
                 total += np.bincount(features(texts)[0], minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
-
-    out = np.zeros(BUCKETS)
-    for r in docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        out[r["bucket"]] = r["n"]
-    return out
+        parts = total.reshape(-1, at_once)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "n"])
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(at_once, np.int64)
+        for n in rows["n"]:
+            total += np.frombuffer(n, np.int64)
+        return pd.DataFrame({"part": rows["part"][:1], "n": [total.tobytes()]})
+
+    out = np.zeros((BUCKETS // at_once, at_once))
+    for r in docs.select("text").mapInArrow(run, "part long, n binary").groupBy("part").applyInPandas(added, "part long, n binary").collect():
+        out[r.part] = np.frombuffer(r.n, np.int64)
+    return out.ravel()
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
