@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -25,15 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder that the cluster shares and returns what is read from there; its shuffle files are no longer needed and go."""
+    """Writes df to the folder that the cluster shares and returns what is read from there; its shuffle files are no longer needed and go.
+
+    Rows pass to Python at most BATCH_ROWS at a time, as whole texts are in them.
+    """
     shared_folder(df.sparkSession)
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
+    cleanup, rows = conf.get(_CLEANUP, "false"), conf.get(_BATCH, "10000")
     conf.set(_CLEANUP, "true")
+    conf.set(_BATCH, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
     try:
-        return df.select("*").checkpoint(eager=True)  # a plan of its own: the setting is read when a plan is made
+        return df.select("*").checkpoint(eager=True)  # a plan of its own: the settings are read when a plan is made
     finally:
-        conf.set(_CLEANUP, before)
+        conf.set(_CLEANUP, cleanup)
+        conf.set(_BATCH, rows)
+
+
+def give_back() -> None:
+    """At the end of a task: memory that this Python worker no longer uses goes back to the machine, as workers are kept."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def wide(df: DataFrame) -> int:

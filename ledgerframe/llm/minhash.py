@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, slices, table
+from .common import components, cut, give_back, slices, table
 from .hashing import CASELESS, joined, mix, prefix, spans, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BITS = 2, 80, 24, 4, 512
@@ -111,6 +111,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 size, h1, h2, bands, sketch = (np.concatenate(x) for x in zip(*parts))
                 fixed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(h1), pa.array(h2), fixed(bands), fixed(sketch)], ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>")
 
@@ -145,6 +146,7 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int)
                     linked[at + i] = both > 0 and 100 * both >= THRESHOLD * (len(p) + len(q) - both)
                 at += len(one)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(linked)), batch.column("b").filter(pa.array(linked))], ["a", "b"])
+        give_back()
 
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     return cut(near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, give_back, table
 from .hashing import joined, prefix, spans
 
 SIZE, END, TOKENIZER, SLICE = 4096, 1, "word_bpe_49k.json", 4096
@@ -152,6 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE, end: i
                 at = to
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
