@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, give_back, slices, table
+from .common import components, cut, give_back, slices, table, wide
 from .hashing import CASELESS, joined, mix, prefix, spans, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BITS = 2, 80, 24, 4, 512
@@ -200,7 +200,7 @@ def _rest(labelled: DataFrame, holders: DataFrame, texts: DataFrame, n: int) ->
             b += ids[linked].tolist()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    some = rows.join(holders, "doc_id").groupBy(*by).applyInPandas(may, "key long, lo long, hi long, doc_id long, c long")
+    some = rows.join(holders, "doc_id").repartition(wide(rows), *by).groupBy(*by).applyInPandas(may, "key long, lo long, hi long, doc_id long, c long")
     return cut(cut(some).join(texts, "doc_id").groupBy(*by).applyInPandas(compare, "a long, b long").distinct())
 
 
