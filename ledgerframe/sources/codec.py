@@ -118,9 +118,9 @@ def _value(data: Column, f: Field, encoding: str | None, base: Column | int) ->
     return items
 
 
-def records(df: DataFrame, layout: Layout, column: str = "value", encoding: str | None = None) -> DataFrame:
-    """Columns of a layout from a binary column; a table of varying length is cut at its counter."""
-    out = df.select(*(_value(F.col(column), f, encoding, 0).alias(f.name) for f in layout.fields if f.name != "FILLER"))
+def records(df: DataFrame, layout: Layout, column: str = "value", encoding: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of a layout from a binary column, after those to keep; a table of varying length is cut at its counter."""
+    out = df.select(*keep, *(_value(F.col(column), f, encoding, 0).alias(f.name) for f in layout.fields if f.name != "FILLER"))
     for f in layout.fields:
         if f.depending and f.depending in out.columns:
             out = out.withColumn(f.name, F.slice(F.col(f.name), F.lit(1), F.greatest(F.col(f.depending).cast("int"), F.lit(0))))

@@ -1,43 +1,91 @@
-"""Files of fixed (FB) and of varying (VB) records."""
+"""Files: fixed (FB) and varying (VB) records, relative numbers, sorts from file to file, print lines, lines, JSON and XML."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.records import sort
 from ..picture import Layout
 from .codec import records, to_records
+from .fixedrec import listed, register
+
+
+#: File status codes.
+STATUS = {
+    "00": "success", "10": "end of file", "22": "duplicate key", "23": "no such record", "24": "boundary", "30": "permanent error",
+    "35": "file not found", "37": "open mode", "41": "file already open, or no record read",
+}
+
+
+def status(path: str) -> str:
+    """What OPEN INPUT of a path reports: 00, 35 if there is none, 30 on other errors."""
+    try:
+        listed(path)
+    except FileNotFoundError:
+        return "35"
+    except OSError:
+        return "30"
+    return "00"
 
 
-def read_fixed(spark: SparkSession, path: str, layout: Layout, encoding: str | None = None) -> DataFrame:
-    """Records of equal length, split anywhere between records; a file's partial last record is padded with blanks.
+def _scan(spark: SparkSession, path: str, layout: Layout, encoding: str | None, **options: object) -> DataFrame:
+    blank = 64 if encoding else 32
+    return register(spark).read.format("fixedrec").options(recordLength=layout.size, blank=blank, **options).load(path)
 
-    Spark's binary record input reads whole records in parallel. A file whose size isn't a multiple needs its tail read apart.
-    """
-    data = spark.sparkContext.binaryRecords(path, layout.size).map(lambda b: (bytearray(b),))
-    return records(spark.createDataFrame(data, "value binary"), layout, encoding=encoding)
+
+def _sink(df: DataFrame, path: str, layout: Layout, encoding: str | None, mode: str, **options: object) -> None:
+    register(df.sparkSession)
+    data = to_records(df, layout, encoding=encoding).select(F.lit(None).cast("long").alias("rrn"), "value")
+    data.write.format("fixedrec").options(recordLength=layout.size, blank=64 if encoding else 32, **options).mode(mode).save(path)
+
+
+def read_fixed(spark: SparkSession, path: str, layout: Layout, encoding: str | None = None, partial: str = "pad") -> DataFrame:
+    """Records of equal length, files split anywhere between records; a file's short last record is padded with blanks, or dropped."""
+    return records(_scan(spark, path, layout, encoding, partial=partial), layout, encoding=encoding)
 
 
 def read_variable(spark: SparkSession, path: str, layout: Layout, encoding: str | None = None) -> DataFrame:
     """Records after 4-byte descriptor words, whose length counts the word; a file is walked by one task, as it can't be split."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def walk(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for data in b.column("content").to_pylist():
-                at = 0
-                while at + 4 <= len(data):
-                    n = int.from_bytes(data[at : at + 2], "big")
-                    if n < 4:
-                        raise ValueError(f"a record descriptor of {n} bytes at {at}")
-                    out.append(data[at + 4 : at + n].ljust(layout.size, b"\x40" if encoding else b" "))
-                    at += n
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    return records(files.mapInArrow(walk, "value binary"), layout, encoding=encoding)
+    return records(_scan(spark, path, layout, encoding, format="VB"), layout, encoding=encoding)
+
+
+def write_fixed(df: DataFrame, path: str, layout: Layout, encoding: str | None = None, mode: str = "overwrite") -> None:
+    """OPEN OUTPUT (overwrite) or EXTEND (append), then WRITE of each row; a sorted frame's order is that of the files' names."""
+    _sink(df, path, layout, encoding, mode)
+
+
+def write_variable(df: DataFrame, path: str, layout: Layout, encoding: str | None = None, mode: str = "overwrite") -> None:
+    _sink(df, path, layout, encoding, mode, format="VB")
+
+
+def read_relative(spark: SparkSession, path: str, layout: Layout, encoding: str | None = None) -> DataFrame:
+    """Relative organization: the records of a fixed file with rrn, their number, which follows from the place in the file."""
+    data = _scan(spark, path, layout, encoding)
+    return records(data, layout, encoding=encoding, keep=("rrn",))
+
+
+def rewrite_file(spark: SparkSession, path: str, giving: str, layout: Layout, change: Callable[[DataFrame], DataFrame], encoding: str | None = None) -> None:
+    """OPEN I-O, READ and REWRITE of each record: files don't change in place, so that the result is written beside."""
+    write_fixed(change(read_fixed(spark, path, layout, encoding)), giving, layout, encoding)
+
+
+def sort_file(spark: SparkSession, using: list[str], giving: str, layout: Layout, *keys: str | tuple[str, str], encoding: str | None = None) -> None:
+    """SORT or MERGE USING files GIVING a file; equal keys in the order of files and records."""
+    parts = [read_relative(spark, p, layout, encoding).withColumn("_file", F.lit(i)) for i, p in enumerate(using)]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    write_fixed(sort(both, *keys, "_file", "rrn"), giving, layout, encoding)
+
+
+def advanced(df: DataFrame, line: str, lines: int, after: bool = True, page: Column | None = None) -> DataFrame:
+    """WRITE AFTER (BEFORE) ADVANCING: each line with lines - 1 empty ones before (after) it; where page is true, a form feed."""
+    blank = F.array_repeat(F.lit(""), max(lines - 1, 0))
+    text = F.col(line) if page is None else F.when(page, F.concat(F.lit("\f"), F.col(line))).otherwise(F.col(line))
+    return df.select(F.explode(F.concat(blank, F.array(text)) if after else F.concat(F.array(text), blank)).alias(line))
 
 
 def write_lines(df: DataFrame, path: str, layout: Layout, encoding: str | None = None) -> None:
