@@ -61,7 +61,7 @@ def character_wise(x: Column, change: Callable[[Column], Column]) -> Column:
 def corresponding(df: DataFrame, source: Layout, target: Layout, verb: str, prefix: str) -> DataFrame:
     """ADD or SUBTRACT CORRESPONDING: the target's columns stand under its names, the source's after the prefix; size errors keep."""
     sign, own = (1 if verb.upper() == "ADD" else -1), {f.name for f in source.fields if f.pic and f.pic.numeric}
-    both = [f for f in target.fields if f.pic and f.pic.numeric and f.name in own]
+    both = [f for f in target.fields if f.pic and f.pic.numeric and f.occurs == 1 and f.name in own and {f.name, prefix + f.name} <= set(df.columns)]
     return df.withColumns({f.name: numeric.stored(F.col(f.name) + sign * F.col(prefix + f.name), f.pic, F.col(f.name)) for f in both})
 
 
