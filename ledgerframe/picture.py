@@ -146,7 +146,7 @@ class Layout:
     @staticmethod
     def from_copybook(text: str) -> Layout:
         """Data description entries to a layout: groups, PIC, USAGE, SIGN, OCCURS (DEPENDING ON), REDEFINES, VALUE, levels 88 and 77."""
-        lines = [ln[6:72] if re.match(r"^.{6}[ *D/-]", ln) and re.match(r"^[\d ]{6}", ln) else ln for ln in text.splitlines()]
+        lines = [ln[6:72] if re.match(r"^(\d{6}| {6})([ */-]|D(?= ))", ln) else ln for ln in text.splitlines()]
         source = " ".join(ln for ln in lines if not ln.lstrip().startswith("*"))
         entries = re.findall(r"\s*(\d\d)\s+((?:'[^']*'|\"[^\"]*\"|[^.'\"]|\.(?=\S))+)\.(?=\s|$)", source)
         root: list = [0, "", [], {}]
