@@ -300,7 +300,12 @@ class Program:
         if f is None:
             self.env[ref[1]] = v
             return V(False)
-        new, error = values.stored(v, f, self.get(ref) if f.pic.category != "edited" else V(""), rounded)
+        unset = self.loop is not None and ref[1] in self.env and self.env[ref[1]] is None
+        old = V(F.lit(None), True) if unset else self.get(ref) if f.pic.category != "edited" else V("")
+        new, error = values.stored(v, f, old, rounded)
+        if unset and not error.known:
+            # On a size error the field would keep what another record left: if there is any, the loop isn't a plan.
+            self.loop.checks.append(error.value if self.loop.guard is None else self.loop.guard & error.value)
         i = int(self.known(values.number(self.value(ref[2][0]))).value) if ref[2] else None
         self.put(ref[1], new, i)
         return error
@@ -975,6 +980,7 @@ class Loop:
         self.outputs: dict[tuple, list[tuple[Column | None, Column]]] = {}
         self.joins: list[tuple[DataFrame, Column]] = []
         self.extremes: dict[str, list] = {}
+        self.checks: list[Column] = []
         self.body = statements
 
     def prepare(self, statements: list) -> None:
@@ -1097,6 +1103,7 @@ class Loop:
         extremes = {n: rules for n, rules in self.extremes.items()}
         added = {n: after[n].delta for n in self.sums if isinstance(after.get(n), Sum)}
         totals = [F.sum(c).alias(f"s_{n}") for n, c in added.items()]
+        totals += [F.count_if(c).alias(f"e_{k}") for k, c in enumerate(self.checks)]
         for n, rules in extremes.items():
             if n in self.written and isinstance(after.get(n), V) and not after[n].known:
                 raise Ordered  # set elsewhere in the body, too
@@ -1105,6 +1112,8 @@ class Loop:
                 big = self._grows(c, n)
                 totals.append((F.max(x) if big else F.min(x)).alias(f"m_{n}_{k}"))
         row = df.agg(*totals).first() if totals else None
+        if any(row[f"e_{k}"] for k in range(len(self.checks))):
+            raise Ordered
         for n in added:
             f = p.fields[n]
             total = saved[n].value + (row[f"s_{n}"] or 0)

@@ -153,7 +153,7 @@ class Layout:
         stack = [root]
         for level_text, body in entries:
             level = int(level_text)
-            words = re.findall(r"'[^']*'|\"[^\"]*\"|[^\s,]+", body)
+            words = re.findall(r"'[^']*'|\"[^\"]*\"|(?:[^\s,]|,(?=[^\s'\"]))+", body)
             name = words[0].upper().replace("-", "_")
             if level == 88:
                 values, rest = [], [w for w in words[1:] if w.upper() not in ("VALUE", "VALUES", "IS", "ARE")]
