@@ -706,7 +706,9 @@ class Program:
     def _flush(self, f: File) -> None:
         if f.mode in ("OUTPUT", "EXTEND", "I-O") and (f.chunks or f.mode == "OUTPUT"):
             df, path = self.output(f), self.paths.get(f.assign, f.assign)
-            if f.organization == "LINE SEQUENTIAL":
+            if path is None:  # kept for output() only
+                pass
+            elif f.organization == "LINE SEQUENTIAL":
                 files.write_lines(df, path, f.layout)
             elif f.mode != "I-O":
                 files.write_fixed(df, path, f.layout, mode="append" if f.mode == "EXTEND" else "overwrite")

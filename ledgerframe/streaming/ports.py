@@ -1,47 +1,144 @@
-"""Ports: delivery of micro-batches to a function, at most, at least or exactly once; regions route requests to programs."""
+"""Ports: delivery of micro-batches to a function, at most, at least or exactly once; regions route requests to programs; queues."""
 
 from __future__ import annotations
 
 import logging
+import tempfile
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import codec
+
 Work = Callable[[DataFrame], None]
+Program = Callable[[DataFrame], DataFrame]
+#: Conditions and their response codes.
+RESPONSES = {"NORMAL": 0, "FILENOTFOUND": 12, "NOTFND": 13, "QIDERR": 44, "TRANSIDERR": 28, "PGMIDERR": 27, "DBNOTFOUND": 13}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where results of steps go: the cluster's folder, or a temporary one where none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerframe-")
+
 
+def listen(stream: DataFrame, work: Work, checkpoint: str, mode: str = "at least once", done: set[int] | None = None, retries: int = 3, pause: float = 1.0, **trigger) -> StreamingQuery:
+    """Starts delivering a stream's batches to a function.
 
-def listen(stream: DataFrame, work: Work, checkpoint: str, mode: str = "at least once", done: set[int] | None = None, **trigger) -> StreamingQuery:
-    """Starts delivering a stream's batches. 'fire and forget' swallows errors; 'exactly once' passes over batches in done."""
+    'fire and forget' logs errors and goes on; 'at least once' tries a batch again, so many times, and then fails, so that the next start
+    delivers it once more; 'exactly once' passes over batches in done, which the caller keeps. For a sink that is exactly once over
+    restarts by itself see delivered().
+    """
 
     def deliver(batch: DataFrame, number: int) -> None:
         if mode == "exactly once" and done is not None and number in done:
             return
-        try:
-            work(batch)
-        except Exception:
-            if mode != "fire and forget":
-                raise
-            logging.getLogger(__name__).warning("a batch was lost", exc_info=True)
+        for attempt in range(1 + (retries if mode == "at least once" else 0)):
+            try:
+                work(batch)
+                break
+            except Exception:
+                if mode == "fire and forget":
+                    logging.getLogger(__name__).warning("a batch was lost", exc_info=True)
+                    break
+                if mode != "at least once" or attempt == retries:
+                    raise
+                time.sleep(pause)
         if done is not None:
             done.add(number)
 
     return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def delivered(stream: DataFrame, process: Program, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Exactly once: receive, process and commit as one. A batch's result replaces what an earlier try of it left in its own folder."""
+
+    def commit(batch: DataFrame, number: int) -> None:
+        process(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def on_wire(text: Column, encoding: str = "cp037") -> Column:
+    return codec.to_bytes(text, encoding)
+
+
+def off_wire(data: Column, encoding: str = "cp037") -> Column:
+    return codec.to_text(data, encoding)
+
+
 class Region:
-    """Transactions by name: each request (trans_id, commarea) goes to its program, a function of DataFrames."""
+    """Transactions by name: each request (trans_id, commarea) goes to its program, a function of DataFrames; resources by name."""
 
     def __init__(self) -> None:
-        self.programs: dict[str, Callable[[DataFrame], DataFrame]] = {}
+        self.transactions: dict[str, Program] = {}
+        self.programs: dict[str, Program] = {}
+        self.resources: dict[str, DataFrame] = {}
+
+    def register(self, transaction: str, program: Program, name: str | None = None) -> None:
+        self.transactions[transaction] = program
+        self.programs[name or transaction] = program
 
-    def register(self, transaction: str, program: Callable[[DataFrame], DataFrame]) -> None:
-        self.programs[transaction] = program
+    def define(self, name: str, program: Program) -> None:
+        """A program for LINK and XCTL that no transaction starts."""
+        self.programs[name] = program
+
+    def link(self, name: str, df: DataFrame) -> DataFrame:
+        """LINK, or XCTL as the last step: the requests as the program leaves them; PGMIDERR if there is none of that name."""
+        if name not in self.programs:
+            return df.withColumn("condition", F.lit("PGMIDERR"))
+        return self.programs[name](df)
+
+    def read_file(self, df: DataFrame, resource: str, key: str) -> DataFrame:
+        """READ of a file resource for each request: its columns, and condition FILENOTFOUND or, without a record, NOTFND."""
+        if resource not in self.resources:
+            return df.withColumn("condition", F.lit("FILENOTFOUND"))
+        hit = self.resources[resource].withColumn("_hit", F.lit(True))
+        out = df.join(hit, key, "left")
+        return out.withColumn("condition", F.when(F.col("_hit"), "NORMAL").otherwise("NOTFND")).drop("_hit")
 
     def dispatch(self, requests: DataFrame) -> DataFrame:
-        """Requests with commarea as their programs leave it and condition: NORMAL, or TRANSIDERR for names that aren't registered."""
-        out = requests.where(~F.coalesce(F.col("trans_id").isin(list(self.programs)), F.lit(False))).withColumn("condition", F.lit("TRANSIDERR"))
-        for name, program in self.programs.items():
-            out = out.unionByName(program(requests.where(F.col("trans_id") == name)).withColumn("condition", F.lit("NORMAL")))
+        """Requests with commarea as their programs leave it, and condition: what a program set, NORMAL, or TRANSIDERR for unknown names."""
+        known = F.coalesce(F.col("trans_id").isin(list(self.transactions)), F.lit(False))
+        out = requests.where(~known).withColumn("condition", F.lit("TRANSIDERR"))
+        for name, program in self.transactions.items():
+            done = program(requests.where(F.col("trans_id") == name))
+            out = out.unionByName(done if "condition" in done.columns else done.withColumn("condition", F.lit("NORMAL")), allowMissingColumns=True)
         return out
+
+
+def response(condition: Column) -> Column:
+    """The response code of a condition; null for one that isn't known."""
+    out = F.lit(None).cast("int")
+    for name, code in RESPONSES.items():
+        out = F.when(condition == name, code).otherwise(out)
+    return out
+
+
+class Queues:
+    """Temporary storage queues: rows queue, item (from 1) and data. Writes come as batches; a queue's items are numbered by seq."""
+
+    def __init__(self, spark: SparkSession):
+        self.items = spark.createDataFrame([], "queue string, item long, data string")
+
+    def write(self, new: DataFrame) -> None:
+        """Adds rows queue, seq, data behind what their queues hold."""
+        depth = self.items.groupBy("queue").agg(F.max("item").alias("_n"))
+        place = F.row_number().over(Window.partitionBy("queue").orderBy("seq"))
+        numbered = new.withColumn("_p", place).join(depth, "queue", "left")
+        self.items = self.items.unionByName(numbered.select("queue", (F.col("_p") + F.coalesce("_n", F.lit(0))).alias("item"), "data"))
+
+    def read(self, queue: str, item: int) -> DataFrame:
+        return self.items.where((F.col("queue") == queue) & (F.col("item") == item))
+
+    def browse(self, queue: str, after: int = 0) -> DataFrame:
+        """READ NEXT to the end, behind an item."""
+        return self.items.where((F.col("queue") == queue) & (F.col("item") > after)).orderBy("item")
+
+    def delete(self, *queues: str) -> None:
+        self.items = self.items.where(~F.col("queue").isin(list(queues)))
+
+    def depth(self) -> DataFrame:
+        return self.items.groupBy("queue").agg(F.count("*").alias("depth"))

@@ -11,7 +11,7 @@ from ledgerframe import plans
 from ledgerframe.picture import Field, Layout, picture
 from ledgerframe.sources import files
 from ledgerframe.sql import Session
-from ledgerframe.streaming.ports import Region, listen
+from ledgerframe.streaming.ports import Queues, Region, delivered, listen
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +79,40 @@ def test_ports_and_regions(spark, tmp_path):
     region.register("B", lambda df: df)
     listen(stream, lambda b: got.extend(map(tuple, region.dispatch(b).collect())), str(tmp_path / "c"), "exactly once", set()).awaitTermination()
     assert sorted(got) == [("A", "X", "NORMAL"), ("B", "y", "NORMAL"), ("Z", "q", "TRANSIDERR")]
+
+
+def test_delivery_modes_and_queues(spark, tmp_path):
+    spark.range(6).selectExpr("id", "concat('m', id) text").write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("id long, text string").parquet(f"{tmp_path}/in")
+    tries = []
+
+    def flaky(batch):
+        tries.append(batch.count())
+        if len(tries) < 3:
+            raise RuntimeError("again")
+
+    listen(stream(), flaky, f"{tmp_path}/c1", pause=0).awaitTermination()
+    assert tries == [6, 6, 6]
+    listen(stream(), lambda b: 1 / 0, f"{tmp_path}/c2", "fire and forget").awaitTermination()
+    for _ in range(2):  # the second start finds nothing new
+        delivered(stream(), lambda b: b, f"{tmp_path}/out", f"{tmp_path}/c3").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+    q = Queues(spark)
+    q.write(spark.createDataFrame([("A", 2, "y"), ("A", 1, "x"), ("B", 1, "z")], "queue string, seq int, data string"))
+    q.write(spark.createDataFrame([("A", 1, "w")], "queue string, seq int, data string"))
+    assert [r.data for r in q.browse("A", 1).collect()] == ["y", "w"] and q.read("A", 1).first().data == "x"
+    q.delete("A")
+    assert [tuple(r) for r in q.depth().collect()] == [("B", 1)]
+
+
+def test_link_and_conditions(spark):
+    region = Region()
+    region.define("UP", lambda df: df.withColumn("commarea", F.upper("commarea")))
+    region.register("A", lambda df: region.link("UP", df))
+    region.register("B", lambda df: region.link("NONE", df))
+    region.resources["CUST"] = spark.createDataFrame([("x", 1)], "commarea string, n int")
+    region.register("C", lambda df: region.read_file(df, "CUST", "commarea"))
+    region.register("D", lambda df: region.read_file(df, "NOPE", "commarea"))
+    df = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "x"), ("C", "y"), ("D", "x"), (None, "q")], "trans_id string, commarea string")
+    got = sorted((r.commarea, r.condition) for r in region.dispatch(df).collect())
+    assert got == sorted([("X", "NORMAL"), ("x", "PGMIDERR"), ("x", "NORMAL"), ("y", "NOTFND"), ("x", "FILENOTFOUND"), ("q", "TRANSIDERR")])
