@@ -60,7 +60,7 @@ class File:
     rows: Iterator | None = None
     reads: int = 0
     chunks: list = field(default_factory=list)
-    pages: bool = False
+    status: str = ""
 
 
 def _sections(text: str, *names: str) -> dict[str, str]:
@@ -79,8 +79,9 @@ class Program:
         for m in re.finditer(r"\bSELECT\s+([\w-]+)\s+ASSIGN\s+(?:TO\s+)?('[^']*'|\"[^\"]*\"|[\w.-]*[\w])(.*?)\.(?=\s)", head, re.IGNORECASE | re.DOTALL):
             org = re.search(r"ORGANIZATION\s+(?:IS\s+)?(LINE\s+SEQUENTIAL|INDEXED|RELATIVE)", m[3], re.IGNORECASE)
             key = re.search(r"RECORD\s+KEY\s+(?:IS\s+)?([\w-]+)", m[3], re.IGNORECASE)
+            state = re.search(r"STATUS\s+(?:IS\s+)?([\w-]+)", m[3], re.IGNORECASE)
             name = m[1].upper().replace("-", "_")
-            self.files[name] = File(name, m[2].strip("'\""), re.sub(r"\s+", " ", org[1].upper()) if org else "SEQUENTIAL", key[1].upper().replace("-", "_") if key else None)
+            self.files[name] = File(name, m[2].strip("'\""), re.sub(r"\s+", " ", org[1].upper()) if org else "SEQUENTIAL", key[1].upper().replace("-", "_") if key else None, status=state[1].upper().replace("-", "_") if state else "")
         parts = _sections(re.split(r"\bDATA\s+DIVISION\s*\.", head, flags=re.IGNORECASE)[-1], r"FILE\s+SECTION", r"WORKING-STORAGE\s+SECTION", r"LOCAL-STORAGE\s+SECTION", r"LINKAGE\s+SECTION")
         self.fields: dict[str, Field] = {}
         self.parents: dict[str, list[Field]] = {}
@@ -667,8 +668,13 @@ class Program:
         for mode, name in opened:
             f = self.files[name]
             f.mode, f.rows, f.reads, f.chunks = mode, None, 0, []
+            code = "00"
             if mode in ("INPUT", "I-O"):
-                f.data = self._source(f)
+                code = "00" if f.name in self.tables else files.status(self.paths.get(f.assign, f.assign))
+                if code != "00" and not f.status:
+                    raise FileNotFoundError(f"{f.name}: status {code}")
+                f.data = self._source(f) if code == "00" else self.spark.createDataFrame([], f.layout.struct())
+            self._status(f, code)
 
     def _source(self, f: File) -> DataFrame:
         if f.name in self.tables:
@@ -731,6 +737,7 @@ class Program:
             data = f.data if f.data is not None else self._source(f)
             f.rows = data.toLocalIterator(prefetchPartitions=True)
         row = next(f.rows, None)
+        self._status(f, "10" if row is None else "00")
         if row is None:
             self.block(clauses.get("yes", []))
             return
@@ -796,6 +803,51 @@ class Program:
         row = self.spark.createDataFrame([tuple(self.known(self.get(("ref", x.name, [], None))).value for x in f.layout.fields)], f.layout.struct())
         f.data = records.rewrite(f.data, row, f.key)
 
+    def do_delete(self, name: str, clauses: dict) -> None:
+        f = self.files[name]
+        if not f.key or self.loop is not None:
+            raise Ordered if self.loop is not None else UnsupportedVerbError("DELETE of a file without a key")
+        own = f.data.where(F.col(f.key) == F.lit(self.known(self.get(("ref", f.key, [], None))).value)).select(f.key)
+        missing = own.isEmpty()
+        if not missing:
+            f.data = records.delete(f.data, own, f.key)
+        self._status(f, "23" if missing else "00")
+        self.block(clauses.get("yes" if missing else "not", []))
+
+    def do_start(self, name: str, op: str, key: tuple | None, clauses: dict) -> None:
+        f = self.files[name]
+        value = self.known(self.get(key or ("ref", f.key, [], None))).value
+        relation = {"=": "EQUAL", ">": "GREATER", ">=": "NOT LESS"}.get(op)
+        if relation is None or self.loop is not None:
+            raise Ordered if self.loop is not None else UnsupportedVerbError(f"START with {op}")
+        found = records.start(f.data, f.key, relation, value)
+        missing = found.isEmpty()
+        if not missing:
+            f.data, f.rows, f.reads = found, None, 0
+        self._status(f, "23" if missing else "00")
+        self.block(clauses.get("yes" if missing else "not", []))
+
+    def do_generate(self, form: str, into: tuple, group: str, clauses: dict) -> None:
+        """JSON or XML GENERATE: the group's elementary fields, flat; text without its trailing blanks."""
+        mine = [x for x in self.leaves(self.fields[group]) if x.occurs == 1 and not x.name.startswith("FILLER_")]
+        row = F.struct(*((column(v) if (v := self.get(("ref", x.name, [], None))).number else F.rtrim(column(v))).alias(x.name) for x in mine))
+        self.assign(into, V(F.to_json(row) if form == "JSON" else F.to_xml(row, {"rowTag": group})))
+        self.block(clauses.get("not", []))
+
+    def do_parse(self, form: str, text: tuple, group: str, clauses: dict) -> None:
+        mine = [x for x in self.leaves(self.fields[group]) if x.occurs == 1 and not x.name.startswith("FILLER_")]
+        schema = ", ".join(f"`{x.name}` {x.pic.spark_type().simpleString()}" for x in mine)
+        t = F.rtrim(column(values.text(self.get(text))))
+        row = F.from_json(t, schema) if form == "JSON" else F.from_xml(t, schema, {"rowTag": group})
+        for x in mine:
+            blank = values.filled("ZEROS" if x.pic.numeric else "SPACES", x)
+            self.assign(("ref", x.name, [], None), V(F.coalesce(row[x.name], column(blank)), x.pic.numeric))
+        self.block(clauses.get("not", []))
+
+    def _status(self, f: File, code: str) -> None:
+        if f.status in self.fields:
+            self.assign(("ref", f.status, [], None), V(code))
+
     def do_sort(self, name: str, keys: list, using: list, giving: list, procedures: dict) -> None:
         f = self.files[name]
         f.chunks = []
@@ -957,6 +1009,7 @@ class Program:
         if read[0] == "SQL":
             self.env["SQLCODE"] = V(Decimal(100), True)
         else:
+            self._status(f, "10")
             self.block(read[4].get("yes", []))
 
 

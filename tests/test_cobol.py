@@ -233,6 +233,34 @@ def test_call_by_reference_and_content(spark):
     assert p.display == ["NONE", "65"]
 
 
+def test_keyed_verbs_status_and_text(spark, tmp_path):
+    head = """IDENTIFICATION DIVISION.
+PROGRAM-ID. K.
+ENVIRONMENT DIVISION. INPUT-OUTPUT SECTION. FILE-CONTROL.
+    SELECT X ASSIGN TO X ORGANIZATION IS INDEXED RECORD KEY IS X-KEY FILE STATUS IS ST.
+    SELECT M ASSIGN TO M FILE STATUS IS ST.
+DATA DIVISION. FILE SECTION.
+FD X. 01 X-REC. 05 X-KEY PIC 9(3). 05 X-NAME PIC X(4).
+FD M. 01 M-REC. 05 M-KEY PIC 9(3).
+WORKING-STORAGE SECTION.
+01 ST PIC XX. 01 J PIC X(60).
+01 G. 05 N PIC S9(3)V99 VALUE 1.5. 05 T PIC X(6) VALUE 'a "b'.
+PROCEDURE DIVISION.
+MAIN-PARA.
+    OPEN INPUT M. DISPLAY ST. OPEN I-O X. DISPLAY ST.
+    MOVE 2 TO X-KEY. START X KEY IS GREATER THAN X-KEY INVALID KEY DISPLAY 'NONE' END-START.
+    READ X NEXT RECORD AT END DISPLAY 'END' END-READ. DISPLAY X-KEY X-NAME.
+    DELETE X RECORD. DISPLAY ST. DELETE X RECORD INVALID KEY DISPLAY 'GONE ' ST END-DELETE.
+    MOVE 99 TO X-KEY. START X KEY IS >= X-KEY INVALID KEY DISPLAY 'NONE ' ST END-START.
+    JSON GENERATE J FROM G. DISPLAY J. INITIALIZE G. JSON PARSE J INTO G. DISPLAY N T '.'.
+    XML GENERATE J FROM G END-XML. INITIALIZE G. XML PARSE J INTO G. DISPLAY N T '.'. CANCEL 'SUB'.
+"""
+    x = spark.createDataFrame([(1, "one"), (2, "two"), (4, "four"), (9, "nine")], "X_KEY int, X_NAME string")
+    p = run(head, spark, tables={"X": x}, paths={"M": f"{tmp_path}/none"})
+    json = '{"N":1.50,"T":"a \\"b"}'
+    assert p.display == ["35", "00", "4four", "00", "GONE 23", "NONE 23", json.ljust(60), '1.50a "b  .', '1.50a "b  .']
+
+
 @pytest.mark.parametrize("body", ["    GO TO X.\n", "    ALTER X TO PROCEED TO Y.\n", "    MOVE NOPE TO A.\n", "    FROBNICATE A.\n", "    PERFORM NOWHERE.\n"])
 def test_unsupported(spark, body):
     with pytest.raises(UnsupportedVerbError):

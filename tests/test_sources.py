@@ -103,3 +103,17 @@ def test_moves(spark):
     assert moves.corresponding(x, layout, layout, "ADD", "s_").first().N == 990  # size error: unchanged
     assert moves.corresponding(x, layout, layout, "SUBTRACT", "s_").first().N == 970
     assert all(len(r) == n for r, n in zip(spark.range(1).select(*map(moves.accept, ("DATE", "DAY", "DAY-OF-WEEK", "TIME"))).first(), (6, 5, 1, 8)))
+
+
+def test_jdbc(spark, data, tmp_path):
+    try:
+        spark._jvm.java.lang.Class.forName("org.apache.derby.jdbc.EmbeddedDriver")
+    except Exception:
+        pytest.skip("no database driver at hand")
+    from ledgerframe.sources.jdbc import Connection
+
+    c = Connection(spark, f"jdbc:derby:{tmp_path}/db;create=true", options={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    c.write(data.selectExpr("cast(K as int) K", "V"), "T1", mode="overwrite")
+    assert c.table("T1", "K", (0, 10), 3).count() == 10 and c.query("select K from T1 where K < 4").count() == 4
+    c.view("T1", "t_jdbc")
+    assert spark.sql("select sum(V) from t_jdbc").first()[0] == Decimal("37.50")
