@@ -3,8 +3,9 @@
 The centroids and codebooks are fitted on at most FIT_ROWS vectors, taken by the hash of their ids; every vector is indexed: it is
 in the list of its nearest centroid, and its residual is coded by the nearest codeword in each of PARTS subspaces. A query probes the
 PROBES lists with the largest inner product of query and centroid; asymmetric distance tables (query against codewords) give
-each coded vector's approximate product, and the RERANK best of a block of a list are computed exactly, in double precision, from
-the original vectors. Lists are cut into blocks of about BLOCK vectors by a hash, so that a hot list isn't one task's; equal vectors
+each coded vector's approximate product. The RERANK best of a block of a list are computed exactly, in double precision, from the
+original vectors; so is every other vector whose approximate product, plus the most that its own coding error can add, reaches the
+best k + 1 of those, so that nothing in a probed list is lost to the codes. Lists are cut into blocks of about BLOCK vectors by a hash, so that a hot list isn't one task's; equal vectors
 of a block are coded and ranked once, with their smallest ids. A block gives at most k rows a query, and ranks are taken over those.
 
 Isotropic vectors have no near centroid, so a large share of the lists is probed: PROBES of LISTS are what recall 0.9 takes there
@@ -45,6 +46,12 @@ class Index:
         residual = x - self.centres[at]
         return np.stack([nearest(residual[:, a:b], book) for a, b, book in zip(self.bounds, self.bounds[1:], self.books)], 1)
 
+    def errors(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
+        """The most that approximate() can be off by for each row of x and a query of length 1: what isn't coded, and rounding."""
+        coded = np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], 1)
+        rounding = np.linalg.norm(self.centres[at]) + np.sqrt(len(self.books)) * np.linalg.norm(coded, axis=1)
+        return np.linalg.norm(x - self.centres[at] - coded, axis=1) + 1e-5 * rounding
+
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :n]
 
@@ -65,23 +72,33 @@ def _best(index: Index, at: int, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarr
     by = np.argsort(same, kind="stable")  # within a class by id
     start = np.concatenate([[0], np.cumsum(np.bincount(same, minlength=len(first)))])
     distinct = x[first]
-    n = min(rerank, len(first))
+    n = min(max(rerank, k + 1), len(first))  # one more than k, as a query's own vector may be among them
     found: list[tuple[np.ndarray, ...]] = []
     codes = index.codes(distinct, at) if at >= 0 and n < len(first) else None
+    error = None if codes is None else index.errors(distinct, at, codes)
+    longest = np.linalg.norm(distinct, axis=1).max(initial=0)
     for i in range(0, len(q), 256):
         qq = q[i : i + 256]
+        size = np.linalg.norm(qq, axis=1)
         if codes is None:
-            chosen = np.tile(np.arange(len(first)), (len(qq), 1))
+            need, reach = np.arange(len(first)), np.True_
         else:
             near = index.approximate(qq, at, codes)
-            chosen = np.argpartition(-near, n - 1, axis=1)[:, :n]
+            some = np.argpartition(-near, n - 1, axis=1)[:, :n]
+            exact = np.stack([distinct[c] @ v for c, v in zip(some, qq)])
+            least = np.partition(exact, n - k - 1, axis=1)[:, n - k - 1]
+            reach = ~(near + size[:, None] * error < least[:, None])
+            need = np.flatnonzero(reach.any(0))
+            reach = reach[:, need]
+        products = np.where(reach, qq @ distinct[need].T, -np.inf)
         for j in range(len(qq)):
-            score = (distinct[chosen[j]] * qq[j]).sum(1)
+            # The matrix product may round otherwise than the sums below, which decide.
+            cutoff = np.partition(products[j], len(need) - k - 1)[len(need) - k - 1] - 1e-12 * size[j] * longest if len(need) > k else -np.inf
+            chosen = need[np.flatnonzero(products[j] >= cutoff)]
+            score = (distinct[chosen] * qq[j]).sum(1)
             top = np.argsort(-score, kind="stable")
-            cutoff = score[top[min(k, len(top)) - 1]] if len(top) > k else -np.inf
-            top = top[score[top] >= cutoff]
-            rows_ = np.concatenate([by[start[c] : min(start[c] + k + 1, start[c + 1])] for c in chosen[j][top]])
-            scores = np.repeat(score[top], [min(k + 1, start[c + 1] - start[c]) for c in chosen[j][top]])
+            rows_ = np.concatenate([by[start[c] : min(start[c] + k + 1, start[c + 1])] for c in chosen[top]])
+            scores = np.repeat(score[top], [min(k + 1, start[c + 1] - start[c]) for c in chosen[top]])
             own = ids[rows_]
             keep = own != q_ids[i + j]
             own, scores = own[keep], scores[keep]

@@ -230,6 +230,32 @@ def test_ann_recall_on_isotropic_vectors(spark):
     assert np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("groups, size, noise", [(1, 6600, 0.2), (3, 2200, 0.1), (33, 200, 0.1)])
+def test_ann_recall_on_near_copies(groups, size, noise):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for g in range(groups):
+        x[g * size : (g + 1) * size] = x[g * size] + noise * rng.normal(size=(size, 64)) / 8
+    x = x[rng.permutation(len(x))]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = ann.Index(x[: ann.FIT_ROWS])
+    lists, q = ann.nearest(x, index.centres), np.arange(0, len(x), 100)
+    probed, found = index.probes(x[q], ann.PROBES), defaultdict(list)
+    for at in range(len(index.centres)):
+        asked, own = q[(probed == at).any(1)], np.flatnonzero(lists == at)
+        for block in np.array_split(own, -(-len(own) // ann.BLOCK)) if len(own) and len(asked) else ():
+            got = defaultdict(list)
+            for i, v, s in zip(*ann._best(index, at, asked, x[asked], block, x[block], 20, ann.RERANK)):
+                got[i].append(v)
+                found[i].append((-s, v))
+            for i in asked:  # within a block nothing is lost
+                s = x[block] @ x[i]
+                assert got[i] == [v for v in block[np.lexsort((block, -s))] if v != i][:20]
+    hits = [len({v for _, v in sorted(found[i])[:20]} & {v for v in np.argsort(-(x @ x[i]))[:21] if v != i}) for i in q]
+    assert np.mean(hits) >= 0.9 * 20
+
+
 def test_mixing(spark):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
