@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,46 @@ def test_substrings(spark, documents, monkeypatch, hot):
     assert substring_dedup.deduplicate(fixture(spark).limit(0)).count() == 0
 
 
+def test_equal_digests_lose_nothing(documents, monkeypatch):
+    x = substring_dedup.Batch.__new__(substring_dedup.Batch)
+    x.key, x.ids, x.doc = np.array([4 << 32 | 7, 7, 9, 9], np.uint64), np.arange(4), np.arange(4)
+    assert [(p, d.tolist(), m.tolist()) for p, d, m in x.digests(4)] == [(0, [7, 9], [2, 2])]
+    find, parts = substring_dedup.Batch.find, 2
+
+    def weak(self, window, kgram):  # anchors keep 18 bits of their digests
+        find(self, window, kgram)
+        self.key = self.key & np.uint64(0xFFFFFFFF0003FFFF)
+
+    monkeypatch.setattr(substring_dedup.Batch, "find", weak)
+    rows = [(i, t) for i, t in documents if t]
+    bodies = {}
+    for k in range(2):
+        ids, texts = zip(*((i, t.encode()) for i, t in rows[k::2]))
+        bodies[k] = substring_dedup._pack(np.array(ids, "<i8"), np.zeros(len(ids), np.uint8), np.array([len(t) for t in texts], "<i8"), np.frombuffer(b"".join(texts), np.uint8))
+
+    def batch(k):
+        x = substring_dedup.Batch(bodies[k])
+        x.find(50, 20)
+        return x
+
+    asked = pd.DataFrame([(p, k, substring_dedup._pack(d, m)) for k in bodies for p, d, m in batch(k).digests(parts)], columns=["part", "batch", "digests"])
+    told = pd.concat([substring_dedup._replies(g) for _, g in asked.groupby("part")])
+    sent, ranges = [], defaultdict(list)
+    for k in bodies:
+        mine = told[told["batch"] == k]
+        out, own = substring_dedup._sent(batch(k), {p: substring_dedup._unpack(t, np.uint8)[0] for p, t in zip(mine["part"], mine["told"])}, parts, 50)
+        sent += [(p, k, runs, None) for p, runs in out]
+        ranges[k].append(substring_dedup._pack(own[:, 0].astype("<i8"), own[:, 1].astype("<i8")))
+    for _, g in pd.DataFrame(sent, columns=["part", "batch", "runs", "local"]).groupby("part"):
+        for k, r in substring_dedup._decided(g, 50, 20)[["batch", "ranges"]].itertuples(index=False):
+            ranges[k].append(r)
+    got = []
+    for k in bodies:
+        made = substring_dedup._kept(substring_dedup.Batch(bodies[k]), ranges[k])
+        got += zip(map(str, made["doc_id"]), made["n_bytes"], made["n_removed"], made["n_spans"], made["kept_sha256"])
+    assert sorted(got) == brute_substrings(rows)
+
+
 def test_suffix_sort():
     data = np.frombuffer(b"banana\0bandana\0ananas\0" * 3, np.uint8)
     p = np.arange(len(data) - 6)
