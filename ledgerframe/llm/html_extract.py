@@ -21,7 +21,8 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: One attribute: its name and, by its quotes, its value; a value is consumed with its name, so that nothing in it is taken for one.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?|\"[^\"]*\"|'[^']*'")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template svg math select button object canvas audio video".split())
 _BLOCK = frozenset(
@@ -29,8 +30,10 @@ _BLOCK = frozenset(
 )
 _NEVER = frozenset("head nav footer aside form dialog search".split())
 _UNLIKELY = frozenset(
-    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars rail menu menus nav navbar navigation topnav breadcrumb breadcrumbs pagination pager header masthead topbar footer cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus replies share sharing social related recommended widget subscribe subscription newsletter signup login form search hidden".split()
+    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars rail menu menus nav navbar navigation topnav breadcrumb breadcrumbs pagination pager header masthead topbar footer cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus replies share sharing social related recommended widget subscribe subscription newsletter signup login form search".split()
 )
+#: Whole class words of main and article elements that are readers' comments.
+_REPLIES = frozenset("comment comments commentlist disqus replies".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _CLOSES = {t: frozenset({"p"}) for t in _BLOCK} | {"li": frozenset({"p", "li"}), "dt": frozenset({"p", "dt", "dd"}), "dd": frozenset({"p", "dt", "dd"}), "tr": frozenset({"p", "td", "th", "tr"}), "td": frozenset({"p", "td", "th"}), "th": frozenset({"p", "td", "th"})}
 #: Elements that an implied end tag doesn't reach over.
@@ -42,17 +45,22 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _NEVER or tag == "header" and not in_article:
         return True
-    if not attributes or tag in ("html", "body", "main", "article") and not re.search("comment|hidden", attributes):
+    if not attributes or tag in ("html", "body"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id"):
+        name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "class" and "hidden" in (whole := value.split()):
+            return True
+        if name == "class" and tag in ("main", "article"):
+            if not _REPLIES.isdisjoint(whole):
+                return True
+        elif name in ("class", "id") and tag not in ("main", "article"):
             if not _UNLIKELY.isdisjoint(re.split(r"[\s_:-]+", value)):
                 return True
         elif name == "role":
             if value in _ROLES:
                 return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"(?<![\w-])display\s*:\s*none", value):
             return True
     return False
 

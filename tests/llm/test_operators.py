@@ -201,6 +201,22 @@ def test_html(spark):
     assert sorted(str(tuple(r)) for r in html_extract.extract(odd).collect()) == ["(1, 'u', 'x', 1)", "(1, 'u', 'x', 1)", "(None, None, '', 0)"]
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<body class="overflow-hidden">', "</body>"), ('<html class="md:hidden js"><body class="hidden search-open">', "</body></html>"), ('<body style="display:none">', "</body>"),
+    ('<div class="overflow-hidden md:hidden">', "</div>"), ('<article class="post comments-open overflow-hidden" id="hidden-gems">', "</article>"), ('<main class="lg:hidden no-comments">', "</main>"),
+    ('<div data-id="alert" data-class="menu" data-hidden="1" my-role="menu" title=\'class="menu" hidden\'>', "</div>"), ("<div data-hidden=a/hidden title=hidden>", "</div>"), ('<div id="hidden-valley" alt="display:none">', "</div>"),
+])
+def test_html_keeps_what_only_looks_hidden(start, end):
+    page = f'{start}<p>One, <a href="/wiki/hidden-markov-model" title="a hidden valley">two</a>, three <b title="id=menu">four</b>.</p>{end}'
+    assert html_extract.main_text(page) == "One, two, three four."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "class='x hidden'", 'class = "site-menu"', "id=cookie-notice", "role=navigation", 'aria-hidden="true"', 'style="color:red; display: none"', 'title="a > b" class=sidebar', "a='\"' hidden"])
+def test_html_drops_what_is_hidden_or_no_article(attributes):
+    assert html_extract.main_text(f"<body><div {attributes}><p>Gone, all of it.</p></div><div><p>Here, I say.</p></div>") == "Here, I say."
+    assert html_extract.main_text("<main><p>Here, I say.</p><article class='comment odd'><p>Gone, too.</p></article><article hidden><p>Gone, too.</p></article></main>") == "Here, I say."
+
+
 def test_licenses(spark, documents):
     rows = documents + [(900, "x Under the MIT license, under the mit-license"), (901, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without limits"), (None, None)]
     index_sets = [(label, set(licenses.words(t))) for label, t in licenses.TEMPLATES]
