@@ -1,11 +1,14 @@
-"""Licence texts by an exact set-similarity join of text blocks (lines) with templates, and phrases by consecutive words.
+"""Licence texts by an exact set-similarity join of text blocks with templates, and phrases by consecutive words.
 
-A template matches a block when at least THRESHOLD of the template's distinct words are in the block. Words are ordered by
-their frequency over all documents (one counting pass, in which only words of templates are gathered); a template is indexed
-under its rarest words only (prefix filter: one of them must be in any block that reaches the threshold), a block with too few
+A block is any run of SPREAD times as many words as the template has, wherever lines end: a notice may be wrapped and hold words
+of its own, but words scattered over a longer text are none. A template matches a block when at least THRESHOLD of the template's distinct words are in the block. Words are
+ordered by their frequency over all documents (one counting pass, in which only words of templates are gathered); a template is
+indexed under its rarest words only (prefix filter: one of them must be in any block that reaches the threshold), a text with too few
 distinct words is passed over (length filter), and the words left on both sides after a hit bound the overlap (positional
-filter). What passes is counted in full, so that the join is exact. Documents are never compared with each other: the templates
-are a fixed list, which goes to each task; both passes are map-only but for one row per template word and task.
+filter). These filters are applied to a document's words as a whole, as what no document holds no block of it does; for the
+templates that pass, all blocks are counted in full, by the places of the template's words, so that the join is exact. Documents are
+never compared with each other: the templates are a fixed list, which goes to each task; both passes are map-only but for one row
+per template word and task.
 
 Null or empty text: n_words 0, no places, labels ''. Null ids stay null, repeated rows give repeated rows, other columns are
 ignored. Ties in frequency: by word.
@@ -42,8 +45,10 @@ TEMPLATES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution License"),
 ]
 THRESHOLD = 0.9
-#: Bytes: A-Z to lower case, what isn't in a word to a space, line ends stay.
-_WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 10 else 32 for c in range(256))
+#: Words of a block for each word of a template.
+SPREAD = 2
+#: Bytes: A-Z to lower case, what isn't in a word to a space.
+_WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -69,8 +74,9 @@ class Index:
     """The templates' prefix index under an order of words (rank: the rarest has the smallest)."""
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
-        self.sets = [(label, frozenset(words(t))) for label, t in templates]
-        self.sets = [x for x in self.sets if x[1]]
+        split = [(label, w) for label, t in templates if (w := words(t))]
+        self.sets = [(label, frozenset(w)) for label, w in split]
+        self.size = [SPREAD * len(w) for _, w in split]
         self.rank = {w: i for i, w in enumerate(sorted(set().union(*(s for _, s in self.sets)), key=lambda w: (counts.get(w, 0), w)))}
         self.need = [math.ceil(threshold * len(s) - 1e-9) for _, s in self.sets]
         self.prefix: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
@@ -79,22 +85,40 @@ class Index:
                 self.prefix[w].append((i, k))
         self.keys = frozenset(self.prefix)
 
-    def matches(self, block: set[bytes]) -> list[tuple[str, float]]:
-        """Labels and containments of the templates that reach the threshold in a block."""
+    def candidates(self, distinct: set[bytes]) -> list[int]:
+        """The templates that reach the threshold in all words of a text together."""
         found, seen = [], set()
-        known = sorted((w for w in block if w in self.rank), key=self.rank.__getitem__)
+        known = sorted((w for w in distinct if w in self.rank), key=self.rank.__getitem__)
         for j, w in enumerate(known):
             for i, k in self.prefix.get(w, ()):
                 if i in seen:
                     continue
-                label, s = self.sets[i]
+                s = self.sets[i][1]
                 # Up to a template's first hit nothing has matched, and what follows on either side bounds the overlap.
-                if len(block) >= self.need[i] and 1 + min(len(s) - k - 1, len(known) - j - 1) >= self.need[i]:
+                if len(distinct) >= self.need[i] and 1 + min(len(s) - k - 1, len(known) - j - 1) >= self.need[i]:
                     seen.add(i)
-                    if (n := len(s & block)) >= self.need[i]:
-                        found.append((label, n / len(s)))
+                    if len(s & distinct) >= self.need[i]:
+                        found.append(i)
         return found
 
+    def overlap(self, i: int, line: list[bytes]) -> int:
+        """The most distinct words of a template in any block of a text, given by its words."""
+        s, size = self.sets[i][1], self.size[i]
+        held: dict[bytes, int] = {}  # the last place of each word in the run, oldest first
+        most = 0
+        for at, w in enumerate(line):
+            if w in s:
+                held.pop(w, None)
+                held[w] = at
+                while held[first := next(iter(held))] <= at - size:
+                    del held[first]
+                most = max(most, len(held))
+        return most
+
+    def matches(self, line: list[bytes], distinct: set[bytes]) -> list[tuple[str, float]]:
+        """Labels and containments of the templates that reach the threshold in a block of a text (its words, in order and distinct)."""
+        return [(self.sets[i][0], n / len(self.sets[i][1])) for i in self.candidates(distinct) if (n := self.overlap(i, line)) >= self.need[i]]
+
 
 def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """How many documents hold each word of a vocabulary; as many rows come to the driver as it has words."""
@@ -123,19 +147,15 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
     def rows(texts: list[str | None]) -> list[tuple]:
         out = []
         for t in texts:
-            data = (t or "").encode().translate(_WORD)
-            line = data.split()
+            line = words(t)
             distinct = set(line)
             found = places(line, sought) if not firsts.isdisjoint(distinct) and any(r <= distinct for r in rest) else []
             score, labels = float(bool(found)), {x for _, x in found}
             base = ",".join(sorted(labels))
             if not index.keys.isdisjoint(distinct):
-                for block in data.split(b"\n"):
-                    own = set(block.split())
-                    if not index.keys.isdisjoint(own):
-                        for label, share in index.matches(own):
-                            labels.add(label)
-                            score = max(score, share)
+                for label, share in index.matches(line, distinct):
+                    labels.add(label)
+                    score = max(score, share)
             starts = [s for s, _ in found]
             out.append((len(line), len(found), min(starts, default=None), max(starts, default=None), base, ",".join(sorted(labels)), score))
         return out

@@ -4,6 +4,7 @@ import hashlib
 import html
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -237,6 +238,39 @@ def test_licenses(spark, documents):
         assert tuple(r)[1:] == (len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
 
 
+@pytest.mark.parametrize("width", [24, 72, 10_000])
+def test_wrapped_licenses(spark, width):
+    comment = lambda t, mark: "".join(f"{mark}{x}\n" for x in textwrap.wrap(t, width))
+    rows = [(i, "Notes first, of the work.\n\n" + comment(t, ("", " * ", "# ")[i % 3]) + "\nint main() {}\n") for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1 for i, (label, _) in enumerate(licenses.TEMPLATES))
+
+
+def test_scattered_words_are_no_license(spark):
+    filler = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f" {filler} ".join(t.split())) for i, (_, t) in enumerate(licenses.TEMPLATES)] + [(99, f"It was licensed {filler} under {filler} cc and by {filler} nc")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((r.labels, r.score) == ("", 0) for r in got.values())
+    index = licenses.Index(licenses.TEMPLATES, {}, licenses.THRESHOLD)
+    for t, labels in (("Released under the\nterms of the MIT\nLicense", {"mit"}), ("SPDX-License-Identifier: Apache-2.0 OR MIT", {"mit", "apache-2"})):
+        line = licenses.words(t)
+        assert {label for label, _ in index.matches(line, set(line))} == labels
+
+
+def test_license_blocks_against_brute_force():
+    rng = np.random.default_rng(3)
+    templates = [("x", "a b c d e f g h i j k"), ("y", "a b a c"), ("z", "q")]
+    index, sets = licenses.Index(templates, {}, 0.6), [(label, t.encode().split()) for label, t in templates]
+    for _ in range(500):
+        line = [bytes([c]) for c in rng.choice(list(b"abcdefghijklmnoxyz"), rng.integers(0, 60))]
+        want = []
+        for label, t in sets:
+            n = max((len(set(t) & set(line[k : k + licenses.SPREAD * len(t)])) for k in range(len(line))), default=0)
+            if n >= math.ceil(0.6 * len(set(t)) - 1e-9):
+                want.append((label, n / len(set(t))))
+        assert sorted(index.matches(line, set(line))) == sorted(want)
+
+
 def vectors(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 16))
