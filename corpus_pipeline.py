@@ -3,7 +3,8 @@
 A document that the quality classifier rejects goes; of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest
 doc_id stays; personal data is replaced by its kind; documents are mixed to target weights (a document comes once for each
 epoch that takes it); what is left is packed. Nulls, empty texts, repeated rows and extra columns: as the operators say; rows with a
-null doc_id pass the first two stages by their text.
+null doc_id go by their text in the first two stages: they are classified and linked like others, under a stand-in for the id; of
+those with the same text one stays, and none where a document with an id is alike.
 """
 
 from __future__ import annotations
@@ -15,22 +16,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import importance, minhash, mixing, packing, pii
-from ledgerframe.llm.common import shared_folder, table
+from ledgerframe.llm.common import cut, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words in a shingle of the near-duplicate stage.
 SHINGLE = 5
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key: doc_id or, where that is null, a hash of the text that is larger than all doc_ids below 2^62."""
+    stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    return docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("key"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose document the importance resampling keeps; a row without doc_id is kept if it has text."""
-    kept = importance.classify(docs, table(spark, sf_dir, "labels")).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").union(docs.select(COLUMNS).where("doc_id is null and text <> ''"))
+    """Rows whose document the importance resampling keeps."""
+    docs = keyed(docs)
+    told = importance.classify(docs.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "labels"))
+    kept = told.where("kept").select(F.col("doc_id").alias("key")).distinct()
+    return docs.join(kept, "key", "left_semi").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs, SHINGLE).where("not kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    docs = keyed(docs)
+    told = minhash.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text"), SHINGLE)
+    gone = cut(told.where("not kept").select(F.col("doc_id").alias("key")).distinct())
+    named = docs.where("doc_id is not null").join(gone, "key", "left_anti").select(COLUMNS)
+    unnamed = docs.where("doc_id is null").join(gone, "key", "left_anti")
+    return named.union(unnamed.groupBy("text").agg(F.min(F.struct(COLUMNS)).alias("row")).select("row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

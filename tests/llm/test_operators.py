@@ -446,6 +446,20 @@ def test_pipeline(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
 
 
+def test_pipeline_rows_without_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(corpus_pipeline.COLUMNS)
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, SF).collect()}
+    nameless = docs.where("doc_id % 2 = 0").withColumn("doc_id", F.expr("cast(null as bigint)"))
+    got = corpus_pipeline.quality(spark, docs.where("doc_id % 2 = 1").union(nameless), SF).where("doc_id is null").count()
+    assert 0 < got < nameless.where("text <> ''").count() and kept  # classified like others: some go, some stay
+    a, b, c = A, B, " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a), (None, a), (2, b), (None, c), (None, c), (None, c + " end"), (None, "far away and all alone in here"), (3, b)]
+    out = corpus_pipeline.near_duplicates(spark, fixture(spark, rows), SF)
+    texts = Counter((r.doc_id, r.text) for r in out.collect())
+    assert out.columns == corpus_pipeline.COLUMNS and set(texts.values()) == {1}
+    assert {t for t in texts} - {(None, c), (None, c + " end")} == {(1, a), (2, b), (None, "far away and all alone in here")} and len(texts) == 4
+
+
 def test_sql(spark):
     c = duckdb.connect()
     for p in Path(SF).glob("*.parquet"):
