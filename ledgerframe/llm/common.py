@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,22 +67,44 @@ def components(edges: DataFrame) -> DataFrame:
     """
     order = lambda c: F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("id"))
     rest = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
+    none = rest.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    steps = []
     while not rest.isEmpty():
         both = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("u"), F.least("m", order("a")).getField("id").alias("p"))
-        first = cut(first)
         step = cut(first.alias("x").join(first.alias("y"), F.col("x.p") == F.col("y.u")).select(F.col("x.u").alias("u"), F.col("y.p").alias("p")))
-        if labels is None:
-            labels = step.select(F.col("u").alias("node"), F.col("p").alias("root"))
-        else:
-            labels = cut(labels.join(step, labels.root == step.u, "left").select("node", F.coalesce("p", "root").alias("root")))
+        steps.append(step)
         rest = rest.join(step.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(step.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
         rest = cut(rest.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    if labels is None:
-        return rest.select(F.col("a").alias("node"), F.col("a").alias("component"))
-    least = labels.groupBy("root").agg(F.min("node").alias("component"))
-    return labels.join(least, "root").select("node", "component")
+    if not steps:
+        return none
+    # A node that a round left without edges has its root; the others' roots are the next rounds'.
+    label = steps[-1]
+    for step in reversed(steps[:-1]):
+        label = step.alias("s").join(label.alias("l"), F.col("s.p") == F.col("l.u"), "left").select("s.u", F.coalesce("l.p", "s.p").alias("p"))
+    least = label.groupBy("p").agg(F.min("u").alias("component"))
+    return label.join(least, "p").select(F.col("u").alias("node"), "component")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
+    """Rows in order of the column by, dealt anew into batches that hold whole groups: no larger than a batch and a group."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        g = b.column(by).to_numpy()
+        last = int(np.searchsorted(g, g[-1]))  # the first row of the last group
+        if last:
+            yield pa.concat_batches([*held, b.slice(0, last)])
+            held = [b.slice(last)]
+        elif held and held[0].column(by)[0].as_py() == g[0]:
+            held.append(b)
+        else:
+            if held:
+                yield pa.concat_batches(held)
+            held = [b]
+    if held:
+        yield pa.concat_batches(held)
 
 
 def per_row(df: DataFrame, keep: list[str], column: str, rows: Callable[[list], list[tuple]], schema: str) -> DataFrame:

@@ -6,6 +6,8 @@ inverse; mix() then spreads the bits.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
@@ -56,6 +58,44 @@ def words(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
+#: Longer words are known by a digest of their own.
+LONG = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data as a number, zeros beyond its end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash of each span of data: its length, then 8 bytes at a time, mixed; no sum of terms by place, so that no family of words collides.
+
+    Of words of one length of at most 8 bytes no two are equal.
+    """
+    n, eight = e - s, eights(data)
+    h = mix((n + 1).astype(np.uint64))
+    for k in range(0, min(LONG, int(n.max(initial=0))), 8):
+        on = np.flatnonzero((n > k) & (n <= LONG)) if k else np.flatnonzero(n <= LONG)
+        h[on] = mix(h[on] ^ (eight[s[on] + k] & _MASK[np.minimum(n[on] - k, 8)]))
+    for i in np.flatnonzero(n > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each span is, byte by byte, that with the number in first."""
+    n, eight = e - s, eights(data)
+    t = s[first]
+    ok = n == (e[first] - t)
+    for k in range(0, min(LONG, int(n.max(initial=0))), 8):
+        on = np.flatnonzero(ok & (n > k) & (n <= LONG)) if k else np.flatnonzero(ok & (n <= LONG))
+        ok[on] = ((eight[s[on] + k] ^ eight[t[on] + k]) & _MASK[np.minimum(n[on] - k, 8)]) == 0
+    for i in np.flatnonzero(ok & (n > LONG)):
+        ok[i] = data[s[i] : e[i]].tobytes() == data[t[i] : t[i] + n[i]].tobytes()
+    return ok
+
+
 def joined(texts: list[bytes], between: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:
     """The texts one after the other, with one byte after each, and their starts (one more at the end)."""
     data = np.frombuffer(between.join(texts) + between, np.uint8)

@@ -1,17 +1,22 @@
 """Near-duplicate documents by MinHash bands, odd sketches and full shingle sets.
 
 Words are runs of bytes other than white space, A-Z in lower case; a document's set has its distinct shingles of SHINGLE words.
-Documents with one set form a class, held by its smallest doc_id, so that exact copies cost one row each. Class holders get
-ROWS * BANDS MinHash values. Holders that agree on a band are candidates; their odd sketches (a bitmap in which each MinHash value
-flips one bit, so that the population count of an XOR follows the number of values that differ) drop candidates which a pair
-of similarity THRESHOLD all but never gives (chance about 1e-8); the rest is confirmed on full sets, made anew from the texts.
-
-No bucket is expanded into all its pairs. First its members are compared with one hub, the member with most candidates
-(so nearest to the middle of a group of copies), and confirmed links are contracted to components. In DEALS rounds the members of buckets
-that hold several components are dealt into groups of about two, anew in each bucket and round, and compared there; most copies of
-a group are joined so at a cost in proportion to their number. Only members of one bucket that are still in different components are
-then compared with each other, block by block and without a row for a pair; pairs in one component can't change it. Buckets are spread over tasks by joins
-that Spark splits when skewed; components are found by rounds of partial aggregation.
+Documents with one sequence of words (by a cryptographic digest of 128 bits) form a class, held by its smallest doc_id, so that exact
+copies cost one row each. Class holders get ROWS * BANDS MinHash values. Holders that agree on a band are candidates; their odd
+sketches (a bitmap in which each MinHash value flips one bit, so that the population count of an XOR follows the number of values
+that differ) drop candidates which a pair of similarity THRESHOLD all but never gives (chance about 1e-8); the rest is confirmed on
+full sets, made anew from the texts: first on 64-bit hashes of the shingles, then, before it counts as a link, on the words themselves.
+
+No bucket is expanded into all its pairs. Its members are dealt into blocks of about BLOCK; in a block each member proposes at most two
+partners: the block's leader, the member with most candidates (so nearest to the middle of a group of copies), and the member with
+the nearest sketch. Confirmed links are contracted to components. Members of buckets that hold several components are dealt
+anew, and propose the nearest sketch of another component; most copies of a group are joined so at a cost in proportion to their number.
+What is then still in different components of one bucket is compared in full, block by block and without a row for a pair: members
+outside a bucket's largest component with each other and with all of that component. A pair is met only in the first of the
+bands that it shares. Pairs in one component can't change it.
+
+A leader's text goes once to each chunk of the members that propose it (CHUNK shingles a chunk, by a bound on what may propose it),
+not once a pair; chunks are spread by their hash.
 
 A pair at the threshold is missed by all bands with chance (1 - 0.8^4)^24 = 3e-6. Null or empty texts, or texts of white space:
 n_shingles 0, linked with nothing. Rows with a null doc_id: a component of their own (null), kept. Repeated rows: each row
@@ -20,33 +25,40 @@ is returned, with the class of its text. Extra columns are ignored. Empty table:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, give_back, slices, table, wide
-from .hashing import CASELESS, joined, mix, prefix, spans, words
+from .common import components, cut, give_back, slices, table, whole_groups, wide
+from .hashing import joined, mix, word_hashes, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BITS = 2, 80, 24, 4, 512
 #: At most so many bits of two odd sketches differ at similarity 0.8, but for a chance of about 1e-8.
 FLIPPED = 77
-#: Rounds in which the members of a bucket that are in different components are dealt into small groups at random.
-DEALS = 4
-#: Members of a bucket that are compared with each other at once, at most about twice so many.
-BLOCK = 1024
+#: With at most so many a leader is near enough, and no nearer member is looked for.
+SURE = 24
+#: Rounds in which the members of a bucket that are in different components are dealt anew.
+DEALS = 1
+#: Members of a bucket in a block, and shingles of a block or a chunk, on average.
+BLOCK, CHUNK = 512, 200_000
 _INSIDE = np.ones(256, bool)
-_INSIDE[[32, 9, 10, 11, 12, 13]] = False
+_INSIDE[[32, 10]] = False
 
 
-def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of all texts, text after text and sorted in each, and where each text's begin (one more at the end)."""
+def split(text: str | bytes | None) -> list[bytes]:
+    """The words of a text."""
+    return (text.encode() if isinstance(text, str) else text or b"").lower().split()
+
+
+def hashed(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of texts in which single spaces divide words, text after text and sorted in each, and where each text's begin (one more at the end)."""
     data, starts = joined(texts)
     s, e = words(data, _INSIDE)
-    h = spans(prefix(data, CASELESS), s, e)
+    h = word_hashes(data, s, e)
     doc = np.searchsorted(starts, s, "right") - 1
     count = np.bincount(doc, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(count)])
@@ -70,14 +82,18 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    c = np.zeros(len(x) + 1, x.dtype)
-    np.cumsum(x, out=c[1:])
-    return c[first[1:]] - c[first[:-1]]
+def shingles(line: list[bytes], n: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles of a text, given by its words."""
+    return set(zip(*(line[k:] for k in range(n)))) if len(line) >= n else {tuple(line)} if line else set()
+
+
+def alike(a: set, b: set) -> bool:
+    both = len(a & b)
+    return both > 0 and 100 * both >= THRESHOLD * (len(a) + len(b) - both)
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, BANDS band keys and the odd sketch (8 numbers of 64 bits)."""
+    """doc_id, n_shingles, a digest of the words (h1, h2), BANDS band keys and the odd sketch (8 numbers of 64 bits)."""
     k = BANDS * ROWS
     a = mix(np.arange(1, k + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
     b = mix(np.arange(1001, k + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -85,8 +101,10 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for at, texts in slices(batch.column("text").to_pylist(), 2 << 20):
-                sh, first = shingles(texts, n)
+            for _, texts in slices(batch.column("text").to_pylist(), 2 << 20):
+                texts = [b" ".join(split(t)) for t in texts]
+                digest = np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
+                sh, first = hashed(texts, n)
                 size = np.diff(first)
                 some = np.flatnonzero(size)
                 least = np.zeros((len(texts), k), np.uint32)
@@ -105,8 +123,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 odd = np.zeros((len(texts), BITS), np.uint8)
                 for i in range(k):
                     odd[np.arange(len(texts)), bit[:, i]] ^= 1
-                sketch = np.packbits(odd, axis=1).view(np.int64)
-                parts.append((size, _sums(sh, first).view(np.int64), _sums(mix(sh), first).view(np.int64), bands.view(np.int64), sketch))
+                parts.append((size, digest[:, 0], digest[:, 1], bands.view(np.int64), np.packbits(odd, axis=1).view(np.int64)))
             if parts:
                 size, h1, h2, bands, sketch = (np.concatenate(x) for x in zip(*parts))
                 fixed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
@@ -116,92 +133,193 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch array<long>")
 
 
-def _near(a: str, b: str) -> str:
-    """SQL for whether two rows' sketches and set sizes allow the threshold."""
-    differ = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(BITS // 64))
-    return f"100 * least({a}.n_shingles, {b}.n_shingles) >= {THRESHOLD} * greatest({a}.n_shingles, {b}.n_shingles) and {differ} <= {FLIPPED}"
+def _flipped(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which each of sketches a differs from each of b."""
+    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+
+
+def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether set sizes a and b allow the threshold."""
+    return 100 * np.minimum(a, b) >= THRESHOLD * np.maximum(a, b)
+
+
+def _lists(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(-1, width)
+
 
+def _dealt(rows: DataFrame, by: list) -> DataFrame:
+    """rows with those of one group, by the hash of by, together and in order of group."""
+    return rows.withColumn("group", F.xxhash64(*by)).repartition(wide(rows), "group").sortWithinPartitions("group")
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Of distinct pairs (a, b), those whose sketches allow and whose full sets confirm the threshold."""
-    near = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.doc_id")).join(sketches.alias("y"), (F.col("b") == F.col("y.doc_id")) & F.expr(_near("x", "y")))
-    near = cut(near.select("a", "b"))
+
+def _proposals(rows: DataFrame, leaders: bool) -> DataFrame:
+    """Distinct pairs (a, b) that a block's members propose, b the one with more candidates, and the chunk of b that a belongs to.
+
+    leaders: each member's leader, and the nearest sketch if the leader isn't near; else the nearest sketch of another component.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            linked = np.zeros(len(a), bool)
-            at = 0
-            while at < len(a):
-                one, other, size = [], [], 0
-                while at + len(one) < len(a) and (not one or size < 1 << 20):
-                    one.append((a[at + len(one)] or "").encode())
-                    other.append((b[at + len(other)] or "").encode())
-                    size += len(one[-1]) + len(other[-1])
-                x, fx = shingles(one, n)
-                y, fy = shingles(other, n)
-                for i in range(len(one)):
-                    p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
-                    both = len(p) + len(q) - len(np.union1d(p, q))
-                    linked[at + i] = both > 0 and 100 * both >= THRESHOLD * (len(p) + len(q) - both)
-                at += len(one)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(linked)), batch.column("b").filter(pa.array(linked))], ["a", "b"])
+        for x in whole_groups(batches, "group"):
+            ids, size, p, group, c = (x.column(k).to_numpy() for k in ("doc_id", "n_shingles", "p", "group", "c"))
+            sketch = _lists(x.column("sketch"), BITS // 64)
+            order = np.lexsort((ids, -p, group))
+            ids, size, p, group, c, sketch = (v[order] for v in (ids, size, p, group, c, sketch))
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            count = np.diff(np.append(first, len(ids)))
+            one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            unsure = np.ones(len(ids), bool)
+            if leaders:
+                lead = np.repeat(first, count)
+                flips = np.bitwise_count(sketch ^ sketch[lead]).sum(1, dtype=np.int64)
+                ok = np.flatnonzero((flips <= FLIPPED) & (ids != ids[lead]) & _fit(size, size[lead]))
+                one.append(ok)
+                other.append(lead[ok])
+                unsure = (flips > SURE) | (ids == ids[lead])
+            for at, n in zip(first[count > 1 + leaders].tolist(), count[count > 1 + leaders].tolist()):
+                g = slice(at, at + n)
+                if leaders:
+                    own = np.flatnonzero(unsure[g])
+                else:
+                    names, k = np.unique(c[g], return_counts=True)
+                    if len(names) < 2:
+                        continue
+                    own = np.flatnonzero(c[g] != names[np.argmax(k)])
+                if not len(own):
+                    continue
+                flips = _flipped(sketch[g][own], sketch[g])
+                flips[~_fit(size[g][own][:, None], size[g][None, :])] = BITS
+                flips[(ids[g][own][:, None] if leaders else c[g][own][:, None]) == (ids[g] if leaders else c[g])[None, :]] = BITS
+                best = flips.argmin(1)
+                ok = flips[np.arange(len(own)), best] <= FLIPPED
+                one.append(at + own[ok])
+                other.append(at + best[ok])
+            one, other = np.concatenate(one), np.concatenate(other)
+            more = (p[one] > p[other]) | ((p[one] == p[other]) & (ids[one] < ids[other]))
+            a, b = np.where(more, other, one), np.where(more, one, other)
+            chunks = np.maximum(p[b] // (BANDS * CHUNK), 1)
+            chunk = (mix(ids[a].astype(np.uint64)) % chunks.astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(chunk)], ["a", "b", "chunk"])
         give_back()
 
-    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-    return cut(near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return rows.mapInArrow(run, "a long, b long, chunk long").distinct()
 
 
-def _flipped(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits in which each of sketches a differs from each of b."""
-    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Of pairs (a, b, chunk), those whose full sets confirm the threshold."""
+    asked = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("of"), "chunk", F.lit(1).alias("turn"))
+    asked = asked.union(pairs.select(F.col("b").alias("doc_id"), F.col("b").alias("of"), "chunk", F.lit(0).alias("turn")).distinct())
+    rows = asked.join(texts, "doc_id").select("of", "chunk", "turn", "doc_id", "text")
+    rows = rows.repartition(wide(pairs), "of", "chunk").sortWithinPartitions("of", "chunk", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hubs = None, []  # the group, and of its leader's text (or texts, if the id has several) hashes, words and shingles
+        for batch in batches:
+            ids, of, chunk, turn = (batch.column(c).to_numpy() for c in ("doc_id", "of", "chunk", "turn"))
+            a, b = [], []
+            for at, some in slices(batch.column("text").to_pylist(), 1 << 20):
+                lines = [split(t) for t in some]
+                sh, first = hashed([b" ".join(x) for x in lines], n)
+                for i, line in enumerate(lines):
+                    k, own = at + i, sh[first[i] : first[i + 1]]
+                    if (of[k], chunk[k]) != now:
+                        now, hubs = (of[k], chunk[k]), []
+                    if not turn[k]:
+                        hubs.append([own, line, None])
+                        continue
+                    for hub in hubs:
+                        place = np.searchsorted(hub[0], own)
+                        both = int((hub[0][np.minimum(place, len(hub[0]) - 1)] == own).sum())
+                        if both and 100 * both >= THRESHOLD * (len(own) + len(hub[0]) - both):
+                            hub[2] = hub[2] or shingles(hub[1], n)
+                            if alike(shingles(line, n), hub[2]):
+                                a.append(ids[k])
+                                b.append(of[k])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
+
+    return cut(rows.mapInArrow(run, "a long, b long"))
 
 
-def _rest(labelled: DataFrame, holders: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def _rest(rows: DataFrame, tops: DataFrame, holders: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components; of a member's links to one component, one.
 
-    A bucket is cut into blocks of about BLOCK members and two blocks at a time are compared; pairs aren't rows anywhere. First
-    sketches alone tell which members may have a partner; only their texts are then brought together.
+    rows: key, doc_id, c; tops: key, top (its largest component), blocks of the others and of top's members.
     """
-    blocks = labelled.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    rows = labelled.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "doc_id", "c")
-    by = ["key", "lo", "hi"]
-
-    def may(x: pd.DataFrame) -> pd.DataFrame:
-        sketch, size, c = np.stack(x["sketch"]).view(np.uint64), x["n_shingles"].to_numpy(), x["c"].to_numpy()
-        keep = np.zeros(len(x), bool)
-        for at in range(0, len(x), 256):
-            own = slice(at, at + 256)
-            fits = (c[own, None] != c[None, :]) & (100 * np.minimum(size[own, None], size[None, :]) >= THRESHOLD * np.maximum(size[own, None], size[None, :]))
-            if fits.any():
-                fits &= _flipped(sketch[own], sketch) <= FLIPPED
-                keep[own] |= fits.any(1)
-                keep |= fits.any(0)
-        return x.loc[keep, [*by, "doc_id", "c"]]
-
-    def compare(x: pd.DataFrame) -> pd.DataFrame:
-        ids, c = x["doc_id"].to_numpy(), x["c"].to_numpy()
-        sh, first = shingles([t.encode() for t in x["text"]], n)
-        size = np.diff(first)
-        _, number = np.unique(sh, return_inverse=True)
-        holder = np.repeat(np.arange(len(x)), size)[np.argsort(number, kind="stable")]
-        start = np.concatenate([[0], np.cumsum(np.bincount(number))])
-        names, count = np.unique(c, return_counts=True)
-        a, b = [], []
-        for i in np.flatnonzero(c != names[np.argmax(count)]):  # the largest component's members are met by all others
-            own = number[first[i] : first[i + 1]]
-            k = start[own + 1] - start[own]
-            both = np.bincount(holder[np.repeat(start[own] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))], minlength=len(x))
-            linked = np.flatnonzero((100 * both >= THRESHOLD * (size[i] + size - both)) & (c != c[i]))
-            linked = linked[np.unique(c[linked], return_index=True)[1]]
-            a += [ids[i]] * len(linked)
-            b += ids[linked].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    some = rows.join(holders, "doc_id").repartition(wide(rows), *by).groupBy(*by).applyInPandas(may, "key long, lo long, hi long, doc_id long, c long")
-    return cut(cut(some).join(texts, "doc_id").groupBy(*by).applyInPandas(compare, "a long, b long").distinct())
+    rows = rows.join(tops, "key").withColumn("is_top", F.expr("c = top"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.expr("if(is_top, tops, others)")))
+    # (lo, hi): two blocks of others, lo <= hi, or a block of others and, as -1 - hi, one of the top's. Side 0: left, 1: right, 2: both.
+    meets = """if(is_top, transform(sequence(0l, others - 1), i -> named_struct('lo', i, 'hi', -1 - own, 'side', 1)),
+        concat(transform(sequence(0l, others - 1), i -> named_struct('lo', least(i, own), 'hi', greatest(i, own), 'side', if(i = own, 2, if(own < i, 0, 1)))),
+               transform(sequence(1l, tops), i -> named_struct('lo', own, 'hi', -i, 'side', 0))))"""
+    rows = rows.withColumn("m", F.explode(F.expr(meets))).select("key", "m.*", "doc_id", "c")
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in whole_groups(batches, "group"):
+            group, key, side, size, c = (x.column(k).to_numpy() for k in ("group", "key", "side", "n_shingles", "c"))
+            sketch, bands = _lists(x.column("sketch"), BITS // 64), _lists(x.column("bands"), BANDS).view(np.int64)
+            keep = np.zeros(x.num_rows, bool)
+            edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                left, right = lo + np.flatnonzero(side[lo:hi] != 1), lo + np.flatnonzero(side[lo:hi] != 0)
+                for at in range(0, len(left), 256):
+                    own = left[at : at + 256]
+                    i, j = np.nonzero((c[own][:, None] != c[right][None, :]) & _fit(size[own][:, None], size[right][None, :]) & (_flipped(sketch[own], sketch[right]) <= FLIPPED))
+                    i, j = own[i], right[j]
+                    for k in range(0, len(i), 1 << 16):
+                        p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                        here = bands[p, (bands[p] == bands[q]).argmax(1)] == key[p]
+                        keep[p[here]] = keep[q[here]] = True
+            yield x.filter(pa.array(keep)).select(["group", "side", "doc_id", "c"])
+        give_back()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in whole_groups(batches, "group"):
+            a, b = [], []
+            groups, sides, every, named = (x.column(k).to_numpy() for k in ("group", "side", "doc_id", "c"))
+            lines = [split(t) for t in x.column("text").to_pylist()]
+            edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]]))
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                ids, c, side = every[lo:hi], named[lo:hi], sides[lo:hi]
+                sh, first = hashed([b" ".join(t) for t in lines[lo:hi]], n)
+                size = np.diff(first)
+                _, number = np.unique(sh, return_inverse=True)
+                holder = np.repeat(np.arange(len(ids)), size)[np.argsort(number, kind="stable")]
+                start = np.concatenate([[0], np.cumsum(np.bincount(number))])
+                sets: dict[int, set] = {}
+                for i in np.flatnonzero(side != 1):
+                    own = number[first[i] : first[i + 1]]
+                    k = start[own + 1] - start[own]
+                    both = np.bincount(holder[np.repeat(start[own] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))], minlength=len(ids))
+                    met: set = set()
+                    for j in np.flatnonzero((100 * both >= THRESHOLD * (size[i] + size - both)) & (c != c[i]) & (side != 0)):
+                        if c[j] not in met:
+                            for m in (i, j):
+                                if m not in sets:
+                                    sets[m] = shingles(lines[lo + m], n)
+                            if alike(sets[i], sets[j]):
+                                met.add(c[j])
+                                a.append(ids[i])
+                                b.append(ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
+
+    some = _dealt(rows.join(holders.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id"), ["key", "lo", "hi"])
+    some = cut(some.mapInArrow(may, "group long, side int, doc_id long, c long"))
+    full = some.join(texts, "doc_id").repartition(wide(rows), "group").sortWithinPartitions("group")
+    return cut(full.mapInArrow(compare, "a long, b long").distinct())
+
+
+def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """label (node, component) with links (a, b) taken in; None as long as there is no link."""
+    if label is not None:  # links between components found so far
+        for side in ("a", "b"):
+            links = links.join(label, links[side] == label.node, "left").withColumn(side, F.coalesce("component", side)).drop("node", "component")
+    more = cut(components(links))
+    if label is None or more.isEmpty():
+        return label if label is not None else more
+    # The old components' new ones, and the new ones of documents that were alone.
+    moved = label.alias("l").join(more.alias("m"), F.col("l.component") == F.col("m.node"), "left").select("l.node", F.coalesce("m.component", "l.component").alias("component"))
+    return cut(moved.union(more.join(label, "node", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -210,48 +328,36 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     rows = cut(signatures(docs, n))
     real = rows.where("doc_id is not null and n_shingles > 0")
     classes = cut(real.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x")).select("h1", "h2", "x.*"))
-    holders = classes.select("doc_id", "n_shingles", "sketch")
-    banded = classes.select(F.explode("bands").alias("key"), "doc_id")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(banded.join(shared, "key"))
-    rank = members.groupBy("doc_id").agg(F.sum("n").alias("p"))  # the more candidates, the nearer to a group's middle
-    labelled = cut(members.join(rank, "doc_id").select("key", "n", "doc_id", "p", F.col("doc_id").alias("c")))
-    texts = docs.where("doc_id is not null").join(classes.select("doc_id"), "doc_id", "left_semi")
-    hub = F.max(F.struct("p", (-F.col("doc_id")).alias("id"), "c")).alias("hub")
-    label = tested = None
-    for k in range(DEALS + 2):
-        if k == 0:
-            pairs = labelled.join(labelled.groupBy("key").agg(hub), "key").where("c <> hub.c").select(F.col("doc_id").alias("a"), (-F.col("hub.id")).alias("b"))
+    banded = classes.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
+    members = cut(banded.select("key", "doc_id").join(shared, "key"))
+    rank = members.groupBy("doc_id").agg(F.sum("weight").alias("p"))  # the more candidates, the nearer to a group's middle
+    holders = cut(classes.select("doc_id", "n_shingles", "bands", "sketch").join(rank, "doc_id"))
+    texts = docs.where("doc_id is not null")
+    size = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / (8 * CHUNK))).cast("long")
+    in_blocks = members.select("key", "doc_id", size.alias("blocks"))
+    slot = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), "blocks")
+    blocked = lambda x, k: _dealt(x.withColumn("slot", slot(k)).join(holders.drop("bands"), "doc_id"), ["key", "slot"])
+
+    pairs = cut(_proposals(blocked(in_blocks.withColumn("c", F.col("doc_id")), 0), True))
+    label = _merged(None, _confirmed(pairs, texts, n))
+    for k in range(1, DEALS + 2):
+        # Only buckets that hold several components are looked at again.
+        named = in_blocks.join(label, in_blocks.doc_id == label.node, "left").select("key", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("c"))
+        mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
+        in_blocks = cut(named.join(mixed, "key"))
+        if k <= DEALS:
+            new = _proposals(blocked(in_blocks, k), False).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+            links = _confirmed(cut(new), texts, n)
         else:
-            mixed = labelled.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-            labelled = cut(labelled.join(mixed, "key"))
-            if k > DEALS:
-                links = _rest(labelled, holders, texts, n)
-                pairs = None
-            else:
-                left = labelled.withColumn("slot", F.pmod(F.xxhash64("doc_id", "key", F.lit(k)), F.greatest(F.expr("n div 2"), F.lit(1)))).join(holders, "doc_id")
-                near = F.expr(f"{_near('p', 'q')} and p.key = q.key and p.slot = q.slot and p.doc_id < q.doc_id and p.c <> q.c")
-                pairs = left.alias("p").join(left.alias("q"), near).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
-        if pairs is not None:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
-            tested = pairs if tested is None else tested.union(pairs)
-            if pairs.isEmpty():
-                continue
-            links = _confirmed(pairs, holders, texts, n)
-        if label is not None:  # links between components found so far
-            for side in ("a", "b"):
-                links = links.join(label, links[side] == label.node, "left").withColumn(side, F.coalesce("component", side)).drop("node", "component")
-        more = cut(components(links))
-        if more.isEmpty():
-            continue
-        if label is None:
-            label = more
-        else:  # the old components' new ones, and the new ones of documents that were alone
-            moved = label.alias("l").join(more.alias("m"), F.col("l.component") == F.col("m.node"), "left").select("l.node", F.coalesce("m.component", "l.component").alias("component"))
-            label = cut(moved.union(more.join(label, "node", "left_anti")))
-        labelled = labelled.drop("c").join(label, labelled.doc_id == label.node, "left").select("key", "n", "doc_id", "p", F.coalesce("component", "doc_id").alias("c"))
-    label = classes.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0) if label is None else label
+            each = in_blocks.groupBy("key", "c").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).groupBy("key")
+            tops = each.agg(F.max(F.struct("n", "c")).alias("t"), F.sum("n").alias("n"), F.max("blocks").alias("blocks"))
+            share = lambda x: F.ceil(F.col("blocks") * F.col(x) / F.col("n")).cast("long")
+            tops = tops.select("key", "n", "blocks", F.col("t.c").alias("top"), F.col("t.n").alias("m"), F.expr("n - t.n").alias("l"))
+            tops = tops.select("key", "top", share("l").alias("others"), share("m").alias("tops"))
+            links = _rest(in_blocks.select("key", "doc_id", "c"), tops, holders, texts, n)
+        label = _merged(label, links)
+        in_blocks = in_blocks.drop("c")
     named = classes.select("h1", "h2", F.col("doc_id").alias("holder")).join(label, F.col("holder") == label.node, "left")
     named = named.select("h1", "h2", F.coalesce("component", "holder").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2", F.expr("if(n_shingles > 0, h1, null)").alias("k1")).alias("r")
