@@ -5,8 +5,8 @@ parser then expands each anchor to its span and validates it. Parsers never look
 a digit run is tried once, so that the work is linear in the text. Map-only; a document is the unit of work.
 
 Kinds: email, ip, card and phone as base; url (a scheme's address), iban (mod 97), account (a number after an account cue),
-ssn (after its cue) and secret (a key after its cue) come from the method. Spans of one kind never overlap; a span of the
-method's own that overlaps a base span is left out. Null or empty text: no spans. Null ids stay null, repeated rows give
+ssn (after its cue) and secret (a key after its cue) come from the method; cues count in any case. Spans of one kind never overlap; a span
+of the method's own that overlaps a base span is left out, but for urls, which may hold some whole (as a user's name or a host's ip). Null or empty text: no spans. Null ids stay null, repeated rows give
 repeated rows, other columns are ignored.
 """
 
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +35,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 _URL = re.compile(r"://[^\s<>\"'`|\\^{}]+")
 _IBAN = re.compile(r"[\s:#=]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
-_ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|number|num|id|#)\.?)?\x20?[:#=]?\x20?([0-9](?:[\x20-]?[0-9]){5,17})(?![0-9])", re.IGNORECASE)
-_SSN = re.compile(r"(?:\x20?(?:no|number))?\.?\x20?[:#=]?\x20?([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])", re.IGNORECASE)
-_SECRET = re.compile(r"\x20?[:=]\x20?[\"']?([A-Za-z0-9+/_=-]{16,})")
-#: Cues, in lower case; the first letter or all may be upper-case in a text.
-_CUES = {"iban": "iban", "account": "account", "acct": "account", "ssn": "ssn", "social security": "ssn", "token": "secret", "secret": "secret", "password": "secret", "api_key": "secret", "apikey": "secret", "api key": "secret", "access_key": "secret"}
+_ACCOUNT = re.compile(r"(?:[\x20_-]?(?:no|nr|number|num|id|#)\.?)?[\"']?\x20?(?:[:#=]|is)?\x20?[\"']?([0-9](?:[\x20-]?[0-9]){5,17})(?![0-9])", re.IGNORECASE)
+_SSN = re.compile(r"(?:[\x20_-]?(?:no|nr|number|num|#))?\.?[\"']?\x20?(?:[:#=]|is)?\x20?[\"']?([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])", re.IGNORECASE)
+_SECRET = re.compile(r"[\"']?\x20?(?:[:=]|=>|is)\x20?[\"']?([A-Za-z0-9+/_=-]{16,})")
+#: Cues, in lower case; a blank in one may be an underscore, a hyphen or nothing in a text.
+_CUES = {"iban": "iban", "account": "account", "acct": "account", "ssn": "ssn", "social security": "ssn", "token": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "api key": "secret", "access key": "secret", "secret key": "secret", "private key": "secret"}
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _automaton = None
 
 
@@ -53,8 +56,9 @@ def automaton():
         a.add_word("+", "phone")
         a.add_word("://", "url")
         for cue, kind in _CUES.items():
-            for form in (cue, cue.upper(), cue[0].upper() + cue[1:]):
-                a.add_word(form, kind)
+            for between in " _-":
+                a.add_word(cue.replace(" ", between), kind)
+            a.add_word(cue.replace(" ", ""), kind)
         a.make_automaton()
         _automaton = a
     return _automaton
@@ -81,7 +85,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     after = dict.fromkeys(KINDS, 0)  # where the next match of a kind may start
     local_from = 0  # characters before are known to hold no local part for the next at-sign
     run_end = 0
-    for end, kind in automaton().iter(text):
+    low = text.lower()
+    for end, kind in automaton().iter(low if len(low) == len(text) else text.translate(_LOWER)):
         at = end
         if kind == "digit":
             if at >= after["ip"] and at >= run_end:
@@ -133,12 +138,11 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     key = lambda s: (s[1], _ORDER[s[0]])
     spans.sort(key=key)
     if own:
-        reach, k, kept = 0, 0, []
+        starts, reach, kept = [b[1] for b in spans], list(accumulate((b[2] for b in spans), max)), []
         for s in sorted(own, key=key):
-            while k < len(spans) and spans[k][1] < s[2]:
-                reach = max(reach, spans[k][2])
-                k += 1
-            if reach <= s[1] and (not kept or kept[-1][2] <= s[1]):
+            lo, hi = bisect_left(starts, s[1]), bisect_left(starts, s[2])
+            inside = s[0] == "url" and all(b[2] <= s[2] for b in spans[lo:hi])
+            if (lo == hi or inside) and (not lo or reach[lo - 1] <= s[1]) and (not kept or kept[-1][2] <= s[1]):
                 kept.append(s)
         spans = sorted(spans + kept, key=key)
     return spans
@@ -159,17 +163,17 @@ def redacted(text: str | None) -> str | None:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, counts of base kinds, base_sha256 and spans, as text 'kind:start:end,...'."""
+    """Per row of docs (doc_id, text): doc_id, counts of base kinds, base_sha256, spans, as text 'kind:start:end,...', and their number."""
 
     def rows(texts: list[str | None]) -> list[tuple]:
         out = []
         for spans in map(find, texts):
             base = [s for s in spans if s[0] in BASE]
             told, all_told = (",".join(f"{k}:{s}:{e}" for k, s, e in x) for x in (base, spans))
-            out.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(told.encode()).hexdigest(), all_told))
+            out.append((*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(told.encode()).hexdigest(), all_told, len(spans)))
         return out
 
-    return per_row(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], "text", rows, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return per_row(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], "text", rows, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
