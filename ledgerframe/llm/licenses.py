@@ -1,7 +1,8 @@
 """Licence texts by an exact set-similarity join of text blocks with templates, and phrases by consecutive words.
 
 A block is any run of SPREAD times as many words as the template has, wherever lines end: a notice may be wrapped and hold words
-of its own, but words scattered over a longer text are none. A template matches a block when at least THRESHOLD of the template's distinct words are in the block. Words are
+of its own (a comment's marks, names), but words scattered over a longer text are none. Templates are one-line notices, the permission
+sentences and the whole notices that files carry. A template matches a block when at least THRESHOLD of the template's distinct words are in the block. Words are
 ordered by their frequency over all documents (one counting pass, in which only words of templates are gathered); a template is
 indexed under its rarest words only (prefix filter: one of them must be in any block that reaches the threshold), a text with too few
 distinct words is passed over (length filter), and the words left on both sides after a hit bound the overlap (positional
@@ -31,6 +32,17 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 #: Notices as their licences word them.
 TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl", "under the terms of the GNU Lesser General Public License"),
+    ("agpl", "under the terms of the GNU Affero General Public License"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
     ("mit", "Released under the MIT License"),
     ("mit", "SPDX-License-Identifier: MIT"),
     ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"),
@@ -41,7 +53,7 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc", "Licensed under CC BY-NC"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike License"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution License"),
 ]
 THRESHOLD = 0.9
