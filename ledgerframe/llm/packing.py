@@ -1,10 +1,10 @@
 """Best-fit packing of documents into sequences of at most SIZE tokens, after dominance reduction.
 
 Documents become ids and a closing id; longer ones are cut. Only how many pieces there are of each length (at most SIZE numbers)
-comes to the driver. There the instance is reduced as by Martello and Toth: a set of pieces in one sequence that dominates every
-alternative is fixed for good (the largest piece alone if the smallest doesn't fit beside it; with one partner that fills
-the sequence exactly; with the largest partner that fits if no two pieces fit). When no rule applies to the largest piece, it goes
-to the remainder, which is packed by best fit, longest first; equal lengths move in bulk, so the work follows
+comes to the driver. There the instance is reduced as by Martello and Toth: for the largest piece, a set of at most three pieces that
+dominates every other set with it is fixed for good as a sequence (every other set's pieces could be put in the place of larger or
+equal ones of it), and what is left is looked at again until no rule applies to any piece. The rules are in dominating(). The
+remainder is packed by best fit, longest first; equal lengths move in bulk, so the work follows
 lengths, not documents. The plan says, for each length, which ranks go to which sequences; its size is bounded by the number of
 lengths. Pieces are ranked within their length in slices by a hash of the id, so no length's pieces meet in one task.
 
@@ -18,6 +18,7 @@ import os
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, give_back, table
-from .hashing import joined, prefix, spans
+from .hashing import joined, same_words, word_hashes
 
 SIZE, END, TOKENIZER, SLICE = 4096, 1, "word_bpe_49k.json", 4096
 #: Words whose ids a Python worker remembers.
@@ -43,8 +44,9 @@ _CLASS = np.array([0 if 9 <= c <= 13 or c == 32 else 1 if 97 <= c <= 122 or c >=
 class Words:
     """A tokenizer of the word_bpe kind: NFC, lower case, words (letters, one digit, or a run of other signs) and pairs inside them.
 
-    Words are found with numpy and known by a 64-bit hash; the tokenizer itself encodes those not met before, many at a time: an
-    id that ends a word closes its word's ids. A text with anything in which its rules for words go beyond that is encoded whole.
+    Words are found with numpy and told apart by a 64-bit hash; each is compared byte by byte with the first of its hash, and texts
+    where they differ are encoded whole. Words are remembered by their bytes. The tokenizer itself encodes those not met before, many at
+    a time: an id that ends a word closes its word's ids. A text with anything in which its rules for words go beyond that is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -57,13 +59,13 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start = np.zeros(REMEMBERED + 1, np.int64)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
+            some = [w.decode() for w in words[at : at + 5000]]
             ids = np.array(self.whole.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) != len(some):
@@ -74,7 +76,7 @@ class Words:
             self.flat[self.used : self.used + len(ids)] = ids
             n = len(self.slot)
             self.start[n + 1 : n + 1 + len(some)] = self.used + stop
-            self.slot.update(zip(hashes[at : at + 5000], range(n, n + len(some))))
+            self.slot.update(zip(words[at : at + 5000], range(n, n + len(some))))
             self.used += len(ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -93,18 +95,19 @@ class Words:
         s, e = s[keep], e[keep]
         if not len(s):
             return out
-        hashes, first, inverse = np.unique(spans(prefix(data), s, e), return_index=True, return_inverse=True)
-        if len(self.slot) + len(hashes) > REMEMBERED:
+        _, first, inverse = np.unique(word_hashes(data, s, e), return_index=True, return_inverse=True)
+        other = np.flatnonzero(~same_words(data, s, e, first[inverse]))
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
+        if len(self.slot) + len(keys) > REMEMBERED or self.used > 16 * REMEMBERED:
             self.forget()
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.slot]
+        new = [w for w in keys if w not in self.slot]
         if len(new) > REMEMBERED:  # one very long text
             for i, (t, p) in enumerate(zip(texts, plain)):
                 if p:
                     out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
             return out
-        raw = data.tobytes()
-        self._learn([keys[k] for k in new], [raw[s[first[k]] : e[first[k]]].decode() for k in new])
+        self._learn(new)
         get = self.slot.__getitem__
         slot = np.fromiter(map(get, keys), np.int64, len(keys))[inverse]
         n = self.start[slot + 1] - self.start[slot]
@@ -114,6 +117,8 @@ class Words:
         for i, p in enumerate(plain):
             if p:
                 out[i] = ids[bound[i] : bound[i + 1]]
+        for i in set((np.searchsorted(starts, s[other], "right") - 1).tolist()):  # words of equal hashes that differ
+            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -157,67 +162,105 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE, end: i
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def dominating(left: Counter, present: list[int], big: int, size: int) -> tuple[int, ...] | None:
+    """The lengths of a set with a piece of length big that dominates every other feasible set with it, if one of at most three is known to.
+
+    left: pieces of each length; present: the lengths in order. The rules, by how many of the smallest others fit beside it at
+    once: none, it stays alone; one, it goes with the largest that fits; two, with the largest that fits if no pair that fits is
+    larger, or with the largest pair if that has the largest that fits and no two that lie between the pair's lengths fit. Whatever
+    that number, a partner that fills the sequence dominates.
+    """
+    room = size - big
+    count = lambda x: left[x] - (x == big)
+
+    def smallest(at: int, n: int, below: int) -> list[int]:
+        out: list[int] = []
+        while at < len(present) and present[at] < below and len(out) < n:
+            out += [present[at]] * min(count(present[at]), n - len(out))
+            at += 1
+        return out
+
+    def largest(most: int, without: int = 0) -> int:
+        for at in range(bisect_right(present, most) - 1, -1, -1):
+            if count(present[at]) > (present[at] == without):
+                return present[at]
+        return 0
+
+    least = smallest(0, 3, room + 1)
+    if not least:
+        return (big,)
+    partner = largest(room)
+    if len(least) == 1 or least[0] + least[1] > room or partner == room:
+        return (big, partner)
+    if len(least) == 2 or sum(least) > room:
+        pair, at = 0, 0
+        for x in reversed(present[: bisect_right(present, room)]):  # the largest sum of two that fit
+            if count(x):
+                while at < len(present) and present[at] <= room - x:
+                    at += 1
+                other = next((y for y in reversed(present[:at]) if count(y) > (y == x)), 0)
+                pair = max(pair, x + other if other else 0)
+        if partner >= pair:
+            return (big, partner)
+        other = largest(room - partner, partner)
+        if other and partner + other == pair:
+            between = smallest(bisect_right(present, other), 2, partner)
+            if len(between) < 2 or sum(between) > room:
+                return (big, partner, other)
+    return None
+
+
+def reduction(lengths: dict[int, int], size: int) -> tuple[list[tuple[tuple[int, ...], int]], Counter]:
+    """The sets that are fixed, each with how often, and the pieces of each length that are left."""
+    left = Counter({n: k for n, k in lengths.items() if k > 0})
+    fixed: list[tuple[tuple[int, ...], int]] = []
+    again = True
+    while again:
+        again = False
+        present = sorted(left)
+        for big in reversed(present.copy()):
+            while left[big] and (found := dominating(left, present, big, size)):
+                need = Counter(found)
+                # As long as three of each are left the rules see the same; a piece that stays alone changes nothing for its like.
+                times = left[big] if len(found) == 1 else max(1, min((left[x] - 3) // m for x, m in need.items()))
+                fixed.append((found, times))
+                for x, m in need.items():
+                    left[x] -= m * times
+                    if not left[x]:
+                        del left[x]
+                        present.remove(x)
+                again = True
+    return fixed, left
+
+
 def plan(lengths: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """How to pack so many pieces of each length: rows (length, first rank, ranks, pieces a sequence, first sequence, offset), and the number of sequences.
 
     Rank r of a row is in sequence first + (r - first rank) // pieces, at offset + length * ((r - first rank) % pieces).
     """
-    left = Counter({n: k for n, k in lengths.items() if k > 0})
     used: Counter = Counter()
     rows: list[tuple[int, int, int, int, int, int]] = []
     sequences = 0
+    fixed, left = reduction(lengths, size)
 
     def put(length: int, n: int, each: int, first: int, offset: int) -> None:
         rows.append((length, used[length], n, each, first, offset))
         used[length] += n
+
+    for found, times in fixed:
+        offset = 0
+        for x, m in Counter(found).items():
+            put(x, m * times, m, sequences, offset)
+            offset += x * m
+        sequences += times
+
+    def take(length: int, n: int, each: int, first: int, offset: int) -> None:
+        put(length, n, each, first, offset)
         left[length] -= n
-        if not left[length]:
-            del left[length]
-
-    # Dominance reduction, largest piece first; what no rule fixes waits in open_.
-    present = sorted(left)
-    open_: dict[int, int] = {}
-    low = 0
-    i = len(present) - 1
-    while i >= 0:
-        big = present[i]
-        if big not in left:
-            i -= 1
-            continue
-        while present[low] not in left:
-            low += 1
-        room, least, n = size - big, present[low], left[big]
-        if room < least:  # alone: nothing fits beside it
-            put(big, n, 1, sequences, 0)
-            sequences += n
-        elif room == big:  # two of a length fill a sequence
-            pairs = n // 2
-            if pairs:
-                put(big, 2 * pairs, 2, sequences, 0)
-                sequences += pairs
-            if n % 2:
-                open_[big] = 1
-                del left[big]
-        elif room in left:  # an exact partner
-            k = min(n, left[room])
-            put(big, k, 1, sequences, 0)
-            put(room, k, 1, sequences, big)
-            sequences += k
-        else:
-            second = least if left[least] > 1 else next((x for x in present[low + 1 :] if x in left), least)
-            partner = next((x for x in reversed(present[: i + 1]) if x in left and x <= room), None)
-            if least + second > room and partner is not None and partner != big:  # one partner at most: the largest that fits
-                k = min(n, left[partner] if partner != least else max(left[partner] - 1, 1))
-                put(big, k, 1, sequences, 0)
-                put(partner, k, 1, sequences, big)
-                sequences += k
-            else:
-                open_[big] = left.pop(big)
+
     # Best fit of the remainder, longest first: sequences by room, in bulk.
-    for n, k in open_.items():
-        left[n] = k
     rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for length in sorted(open_, reverse=True):
+    for length in sorted(left, reverse=True):
         while left[length]:
             n = left[length]
             room = min((r for r in rooms if r >= length), default=None)
@@ -225,11 +268,11 @@ def plan(lengths: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int, int
                 each = size // length
                 full, rest = divmod(n, each)
                 if full:
-                    put(length, full * each, each, sequences, 0)
+                    take(length, full * each, each, sequences, 0)
                     rooms[size - each * length].append((sequences, full))
                     sequences += full
                 if rest:
-                    put(length, rest, rest, sequences, 0)
+                    take(length, rest, rest, sequences, 0)
                     rooms[size - rest * length].append((sequences, 1))
                     sequences += 1
                 continue
@@ -239,12 +282,12 @@ def plan(lengths: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int, int
             each = room // length
             full = min(count, n // each)
             if full:
-                put(length, full * each, each, first, size - room)
+                take(length, full * each, each, first, size - room)
                 rooms[room - each * length].append((first, full))
                 if full < count:
                     rooms[room].append((first + full, count - full))
             else:
-                put(length, n, n, first, size - room)
+                take(length, n, n, first, size - room)
                 rooms[room - n * length].append((first, 1))
                 if count > 1:
                     rooms[room].append((first + 1, count - 1))
