@@ -5,8 +5,10 @@ share their parent's budget by their weights, no child gets more than its subtre
 can't take goes to its siblings by their weights before any of it would be missing at the parent (an exact water filling: children
 sorted by capacity per weight). A leaf's stream is epoch after epoch, each in an order of its own by a seeded hash; the leaf
 takes the prefix of the stream that holds its budget, the last document whole. Full epochs are counted, not enumerated by rank;
-in the last one the prefix is found by sums over intervals of the order, so that no leaf's rows meet in one task: only one
-interval, of about SLICE documents, is sorted at a time.
+in the last one the prefix's end is found by sums over cells of the order, 16 ** DIGITS of them in a leaf, then over cells of the cell
+that it ends in, until that holds about SLICE documents: only those are sorted, so that no leaf's rows meet in one task. Rows get their
+leaf's plan by a broadcast as long as there are at most LEAVES leaves (counted first), else by a join on leaf and salt; texts are
+never shuffled in the first case. Shares are rounded down, so that up to one token a sibling isn't given out.
 
 All arithmetic is of integers; tokens are words divided by white space. Null text: 0 tokens; null language or source: a
 node of its own ('' in the tree); null doc_id: ordered last, by text. Documents without tokens come with their
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-MAX_EPOCHS, SEED, SLICE = 4, 17, 1024
+MAX_EPOCHS, SEED, SLICE, DIGITS = 4, 17, 1024, 3
+#: Leaves whose plan is broadcast, at about 100 bytes each; beyond, a leaf's rows are dealt to SALTS parts.
+LEAVES, SALTS = 100_000, 64
 LEVELS = ("domain", "tree_lang", "tree_source")
 #: Weights of children by name, 1 for all others.
 WEIGHTS = {"domain": {"web": 3, "reference": 2, "forum": 1}, "tree_lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "tree_source": {}}
@@ -69,34 +73,50 @@ def budgets(leaves: DataFrame, total: int | None = None, epochs: int = MAX_EPOCH
     return own.drop("leaf_cap").join(given.withColumnRenamed("parent_budget", "budget"), list(LEVELS))
 
 
+def _by_leaf(rows: DataFrame, leaves: DataFrame, n: int) -> DataFrame:
+    """rows with the columns of their leaf, of which there are at most n; a hot leaf's rows stay where they are, or are dealt out by a salt."""
+    if n <= LEAVES:
+        return rows.join(F.broadcast(leaves), list(LEVELS))
+    salted = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int")).join(salted, [*LEVELS, "_salt"]).drop("_salt")
+
+
 def mix(docs: DataFrame, total: int | None = None, epochs: int = MAX_EPOCHS, weights: dict = WEIGHTS, seed: int = SEED, domain: str = _DOMAIN) -> DataFrame:
     """docs (doc_id, text, lang, source, ...) once for each epoch in which a document is taken, with domain, epoch, n_tokens, leaf_budget."""
     made = ["domain", "tree_lang", "tree_source", "n_tokens", "epoch", "leaf_budget"]
-    rows = docs.drop(*made).withColumn("domain", F.expr(domain)).withColumn("tree_lang", F.coalesce("lang", F.lit(""))).withColumn("tree_source", F.coalesce("source", F.lit(""))).withColumn("n_tokens", tokens(F.col("text")))
+    own = ("doc_id", "text", "lang", "source")
+    others = [c for c in docs.columns if c.lower() not in (*own, *made)]  # kept apart: their names may be those of columns made on the way
+    rows = docs.select(*own, F.struct(*(F.col(f"`{c}`") for c in others) if others else [F.lit(0)]).alias("others"))
+    rows = rows.withColumn("domain", F.expr(domain)).withColumn("tree_lang", F.coalesce("lang", F.lit(""))).withColumn("tree_source", F.coalesce("source", F.lit(""))).withColumn("n_tokens", tokens(F.col("text")))
     # What is ranked, written once: ids and tokens, without the texts.
     slim = cut(rows.select(*LEVELS, "doc_id", "n_tokens", F.expr("if(doc_id is null, md5(text), null)").alias("text_key")))
     leaves = slim.groupBy(*LEVELS).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("leaf_tokens"))
     plan = cut(budgets(leaves, total, epochs, weights))
+    n_leaves = plan.count()
     plan = plan.withColumn("full_epochs", F.expr("if(leaf_tokens > 0, budget div leaf_tokens, 0)")).withColumn("left", F.expr("if(leaf_tokens > 0, budget % leaf_tokens, 0)"))
-    small = slim.join(plan, list(LEVELS))
-    small = small.withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), "full_epochs", F.coalesce(F.col("doc_id").cast("string"), "text_key", F.lit("")))))
-    small = small.withColumn("slice", F.expr(f"cast(conv(substr(place, 1, 8), 16, 10) as long) * greatest(n_docs div {SLICE}, 1) div 4294967296"))
-    by = [*LEVELS, "slice"]
-    sums = small.groupBy(*by).agg(F.sum("n_tokens").alias("slice_tokens"))
-    sums = sums.withColumn("before_slice", F.coalesce(F.sum("slice_tokens").over(Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # Only the slice in which a leaf's prefix ends is ranked; those before it are taken whole.
-    edge = sums.join(plan.select(*LEVELS, "left"), list(LEVELS)).where("before_slice < left").groupBy(*LEVELS).agg(F.max(F.struct("slice", "before_slice")).alias("edge"))
-    edge = cut(edge.select(*LEVELS, F.col("edge.slice").alias("slice"), F.col("edge.before_slice").alias("before_slice")))
-    ends = small.join(edge, by)
-    run = Window.partitionBy(*by).orderBy("place", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("before", F.col("before_slice") + F.coalesce(F.sum("n_tokens").over(run), F.lit(0))).where("before < left")
-    last = ends.groupBy(*LEVELS).agg(F.max(F.struct("place", "doc_id", "text_key")).alias("last_place"))
-    plan = cut(plan.join(last.select(*LEVELS, F.col("last_place.place").alias("last_place")), list(LEVELS), "left"))
-    out = rows.join(plan.select(*LEVELS, "full_epochs", "last_place", F.col("budget").alias("leaf_budget")), list(LEVELS))
-    out = out.withColumn("_place", F.md5(F.concat_ws(":", F.lit(seed), "full_epochs", F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))))
+    place = lambda key: F.md5(F.concat_ws(":", F.lit(seed), "full_epochs", F.coalesce(F.col("doc_id").cast("string"), key, F.lit(""))))
+    edge = plan.where("left > 0").select(*LEVELS, "full_epochs", "left", F.lit("").alias("cell"), F.lit(0).cast("long").alias("before"), F.col("n_docs").alias("n"))
+    digits, most = 0, edge.agg(F.max("n")).first()[0] or 0
+    ends = lambda: _by_leaf(slim, edge, n_leaves).withColumn("place", place(F.col("text_key"))).where(F.substr("place", F.lit(1), F.lit(digits)) == F.col("cell"))
+    while most > SLICE and digits < 30:
+        found = ends()
+        digits += DIGITS
+        found = found.groupBy(*LEVELS, "full_epochs", "left", "before", F.substr("place", F.lit(1), F.lit(digits)).alias("cell")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("held"))
+        earlier = Window.partitionBy(*LEVELS).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        found = found.withColumn("before", F.col("before") + F.coalesce(F.sum("held").over(earlier), F.lit(0))).where("before < left")
+        # Only the cell in which a leaf's prefix ends is looked into; those before it are taken whole.
+        edge = cut(found.groupBy(*LEVELS, "full_epochs", "left").agg(F.max(F.struct("cell", "before", "n")).alias("e")).select(*LEVELS, "full_epochs", "left", "e.*"))
+        most = edge.agg(F.max("n")).first()[0] or 0
+    run = Window.partitionBy(*LEVELS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows of one place, which are one document's copies, count as one.
+    last = ends().groupBy(*LEVELS, "before", "left", "place").agg(F.sum("n_tokens").alias("n_tokens"))
+    last = last.withColumn("before", F.col("before") + F.coalesce(F.sum("n_tokens").over(run), F.lit(0))).where("before < left")
+    last = last.groupBy(*LEVELS).agg(F.max("place").alias("last_place"))
+    plan = cut(plan.join(last, list(LEVELS), "left").select(*LEVELS, "full_epochs", "last_place", F.col("budget").alias("leaf_budget")))
+    out = _by_leaf(rows, plan, n_leaves).withColumn("_place", place(F.md5("text")))
     out = out.withColumn("_times", F.col("full_epochs") + F.expr("if(last_place is not null and _place <= last_place, 1, 0)")).where("_times > 0")
     out = out.withColumn("epoch", F.explode(F.expr("sequence(0l, _times - 1)")))
-    return out.select(*(c for c in docs.columns if c not in made), "domain", "epoch", "n_tokens", "leaf_budget")
+    return out.select(*(F.col(c) if c.lower() in own else F.col(f"others.`{c}`") for c in docs.columns if c.lower() not in made), "domain", "epoch", "n_tokens", "leaf_budget")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
