@@ -5,11 +5,13 @@ in the list of its nearest centroid, and its residual is coded by the nearest co
 PROBES lists with the largest inner product of query and centroid; asymmetric distance tables (query against codewords) give
 each coded vector's approximate product. The RERANK best of a block of a list are computed exactly, in double precision, from the
 original vectors; so is every other vector whose approximate product, plus the most that its own coding error can add, reaches the
-best k + 1 of those, so that nothing in a probed list is lost to the codes. Lists are cut into blocks of about BLOCK vectors by a hash, so that a hot list isn't one task's; equal vectors
-of a block are coded and ranked once, with their smallest ids. A block gives at most k rows a query, and ranks are taken over those.
+best k + 1 of those, so that nothing in a probed list is lost to the codes. Lists are cut into blocks of about BLOCK vectors and their
+queries into blocks of about ASKED by hashes, so that neither a hot list nor all queries of one are one task's; equal vectors
+of a block are coded and ranked once, with their smallest ids. A pair of blocks gives at most k rows a query, and ranks are taken over those.
 
-Isotropic vectors have no near centroid, so a large share of the lists is probed: PROBES of LISTS are what recall 0.9 takes there
-(measured in the tests).
+How many lists a query probes is measured when the index is fitted: as many as bring TARGET of the true neighbours within the fitted
+rows, asked for up to TRIED of them by brute force. Isotropic vectors have no near centroid, so that most lists are probed there; near
+copies need few. More lists would take fewer rows for the same recall, but each query goes to every list that it probes.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id; vectors of another
 length than most are compared with queries of their length in lists of their own, exactly. Ties: the smaller id. Repeated rows are two
@@ -18,6 +20,7 @@ candidates; a query's own id is never its candidate. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .vectors import k_means, matrix, nearest, sample, usable
 
-LISTS, PROBES, PARTS, CODEWORDS, FIT_ROWS, BLOCK, RERANK = 64, 44, 16, 256, 16_384, 4096, 100
+LISTS, PARTS, CODEWORDS, FIT_ROWS, BLOCK, ASKED, RERANK, TARGET, TRIED = 64, 16, 256, 16_384, 4096, 4096, 100, 0.96, 256
 
 
 class Index:
@@ -52,6 +55,19 @@ class Index:
         rounding = np.linalg.norm(self.centres[at]) + np.sqrt(len(self.books)) * np.linalg.norm(coded, axis=1)
         return np.linalg.norm(x - self.centres[at] - coded, axis=1) + 1e-5 * rounding
 
+    def enough(self, x: np.ndarray, k: int) -> int:
+        """So many lists that queries from x find TARGET of their k nearest in x."""
+        asked = np.unique(np.linspace(0, len(x) - 1, min(TRIED, len(x))).astype(int))
+        products = x[asked] @ x.T
+        products[np.arange(len(asked)), asked] = -np.inf
+        k = min(k, len(x) - 1)
+        if k < 1:
+            return len(self.centres)
+        best = np.argpartition(-products, k - 1, axis=1)[:, :k]
+        place = np.argsort(self.probes(x[asked], len(self.centres)), axis=1, kind="stable")  # of each list in a query's order
+        found = np.sort(np.take_along_axis(place, nearest(x, self.centres)[best], 1), axis=None)
+        return int(found[math.ceil(TARGET * len(found)) - 1]) + 1
+
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :n]
 
@@ -107,14 +123,16 @@ def _best(index: Index, at: int, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarr
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_name: str = "vec_id", vector_name: str = "embedding", probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_name: str = "vec_id", vector_name: str = "embedding", probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, id and score of each query's k nearest of vectors by inner product, its own id left out."""
     form = lambda df: df.select(F.col(id_name).cast("long").alias("id"), F.col(vector_name).cast("array<double>").alias("vector")).where("id is not null").where(usable(F.col("vector")))
     rows, asked = form(vectors), form(queries)
     fitted = sample(rows, "id", FIT_ROWS)
     index = Index(fitted) if len(fitted) else None
+    nothing = rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_name), F.lit(0.0).alias("score")).where("false")
     if index is None:
-        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_name), F.lit(0.0).alias("score")).where("false")
+        return nothing
+    probes = index.enough(fitted, k) if probes is None else probes
 
     def listed(batches: Iterator[pa.RecordBatch], probed: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,10 +150,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_name: str = "
     schema = "id long, vector array<double>, list long"
     entries = cut(rows.mapInArrow(lambda b: listed(b, False), schema))
     blocks = {r.list: -(-r.n // BLOCK) for r in entries.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row per list
-    n_blocks = F.element_at(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv)), F.col("list"))
-    entries = entries.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
     asks = asked.mapInArrow(lambda b: listed(b, True), schema).where(F.col("list").isin(list(blocks)))
-    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+    asked_blocks = {r.list: -(-r.n // ASKED) for r in asks.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row per list
+    if not asked_blocks:
+        return nothing
+    of_list = lambda n: F.element_at(F.create_map(*(F.lit(x) for kv in n.items() for x in kv)), F.col("list"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), of_list(n) - 1))
+    asks = asks.withColumn("asked", F.pmod(F.xxhash64("id", F.lit(1)), of_list(asked_blocks))).withColumn("block", every(blocks))
+    entries = entries.where(F.col("list").isin(list(asked_blocks))).withColumn("block", F.pmod(F.xxhash64("id"), of_list(blocks))).withColumn("asked", every(asked_blocks))
 
     def best(key: tuple, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
@@ -143,7 +165,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_name: str = "
         made = _best(index, int(key[0]), q["id"].to_numpy(), np.stack(q["vector"]), x["id"].to_numpy(), np.stack(x["vector"]), k, rerank)
         return pd.DataFrame(dict(zip(("query_id", "id", "score"), made)))
 
-    found = entries.groupBy("list", "block").cogroup(asks.groupBy("list", "block")).applyInPandas(best, "query_id long, id long, score double")
+    found = entries.groupBy("list", "block", "asked").cogroup(asks.groupBy("list", "block", "asked")).applyInPandas(best, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_name), "score")
