@@ -2,7 +2,7 @@
 
 Equal vectors form a class, held by the smallest vec_id; a class counts with its size. Unit vectors x are quantised as x = s*q + e
 with q of int8; |e| is measured, not assumed. For two vectors |x.y - s*s'*(q.q')| <= |e|*(1 + |e'|) + |e'|, so that a tile product
-of integers (exact in float32: less than 2^24) finds all pairs that may reach the threshold; only they are computed again, in double
+of integers (exact in float32: sums over EXACT dimensions stay below 2^24, and longer ones are added in double precision) finds all pairs that may reach the threshold; only they are computed again, in double
 precision, from the original components. Vectors are dealt into tiles by their nearest pivot, and two pivots' tiles meet only if the
 angle between the pivots is within both radii and the threshold's angle (triangle inequality), so that what can't hold a link is never
 multiplied. A pair of tiles is the unit of work and returns at most one row per vector: its number of links there, and the root of
@@ -28,6 +28,8 @@ from .vectors import k_means, matrix, nearest, sample, usable
 THRESHOLD, TILE, PIVOTS, FIT_ROWS, BLOCK = 0.95, 4096, 8, 4096, 1024
 #: Added to bounds for the rounding of float32 factors and of the measured norms.
 SLACK = 1e-5
+#: Dimensions whose products of two int8 digits add up to less than 2^24.
+EXACT = (1 << 24) // (127 * 127)
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,9 +71,11 @@ def tile_links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> It
     for i in range(0, len(x), BLOCK):
         for j in range(i if same else 0, len(y), BLOCK):
             a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
-            p = fx[a] @ fy[b].T
-            p *= sx[a, None].astype(np.float32)
-            p *= sy[None, b].astype(np.float32)
+            p = fx[a, :EXACT] @ fy[b, :EXACT].T
+            for k in range(EXACT, fx.shape[1], EXACT):
+                p = p + (fx[a, k : k + EXACT] @ fy[b, k : k + EXACT].T).astype(np.float64)
+            p *= sx[a, None].astype(p.dtype)
+            p *= sy[None, b].astype(p.dtype)
             slack = ex[a].max() * (1 + ey[b].max()) + ey[b].max() + SLACK
             k, m = np.nonzero(p >= threshold - slack)
             may = p[k, m] + ex[a][k] * (1 + ey[b][m]) + ey[b][m] + SLACK >= threshold
