@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
@@ -58,31 +58,42 @@ def wide(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def unplaced(name: str) -> Column:
+    """The column (of long), as one by which Spark doesn't know rows to be placed: a join with it shuffles both sides, and so can split a hot key."""
+    return F.col(name).bitwiseXOR(F.lit(0).cast("long")).alias(name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node on an edge, component its smallest node.
 
-    Each round every node points to its neighbour that comes first in a random order, two such steps are taken at once and the
-    edges are contracted, so that the number of rounds is logarithmic; an edge's ends never meet in one task, and the smallest
-    nodes are found by partial aggregation. Edges with a null end are left out. No edges: no rows.
+    Each round every node points to that of its neighbours and itself which comes first in an order, two such steps are taken at once and
+    the edges are contracted. In the first round the order is by the columns ao and bo of a and b, if edges have them (so that stars
+    whose middle comes first go at once), else and later it is random, so that the number of rounds is logarithmic. An edge's ends never
+    meet in one task, and the smallest nodes are found by partial aggregation. Edges with a null end are left out. No edges: no rows.
     """
-    order = lambda c: F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("id"))
-    rest = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    none = rest.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    own = {"ao", "bo"} <= set(edges.columns)
+    order = lambda c, o: F.struct((F.col(o) if own else F.lit(0).cast("long")).alias("o"), F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    rest = edges.where("a is not null and b is not null and a <> b").select(order("a", "ao").alias("a"), order("b", "bo").alias("b"))
+    rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    none = rest.select(F.col("a.id").alias("node"), F.col("a.id").alias("component"))
     steps = []
     while not rest.isEmpty():
-        both = rest.select("a", "b").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("u"), F.least("m", order("a")).getField("id").alias("p"))
-        step = cut(first.alias("x").join(first.alias("y"), F.col("x.p") == F.col("y.u")).select(F.col("x.u").alias("u"), F.col("y.p").alias("p")))
+        both = rest.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        first = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a.id").alias("u"), F.least("m", "a").alias("p"))
+        step = cut(first.alias("x").join(first.select(unplaced("u"), "p").alias("y"), F.col("x.p.id") == F.col("y.u")).select(F.col("x.u").alias("u"), F.col("y.p.id").alias("p")))
         steps.append(step)
-        rest = rest.join(step.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(step.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
-        rest = cut(rest.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        rest = rest.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        rest = rest.join(step.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(step.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
+        own = False
+        rest = rest.select(order("pa", "").alias("a"), order("pb", "").alias("b"))
+        rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not steps:
         return none
     # A node that a round left without edges has its root; the others' roots are the next rounds'.
     label = steps[-1]
     for step in reversed(steps[:-1]):
         label = step.alias("s").join(label.alias("l"), F.col("s.p") == F.col("l.u"), "left").select("s.u", F.coalesce("l.p", "s.p").alias("p"))
-    least = label.groupBy("p").agg(F.min("u").alias("component"))
+    least = label.groupBy("p").agg(F.min("u").alias("component")).select(unplaced("p"), "component")
     return label.join(least, "p").select(F.col("u").alias("node"), "component")
 
 

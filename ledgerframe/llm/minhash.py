@@ -9,11 +9,11 @@ full sets, made anew from the texts: first on 64-bit hashes of the shingles, the
 
 No bucket is expanded into all its pairs. Its members are dealt into blocks of about BLOCK; in a block each member proposes at most two
 partners: the block's leader, the member with most candidates (so nearest to the middle of a group of copies), and the member with
-the nearest sketch. Confirmed links are contracted to components. Members of buckets that hold several components are dealt
-anew, and propose the nearest sketch of another component; most copies of a group are joined so at a cost in proportion to their number.
-What is then still in different components of one bucket is compared in full, block by block and without a row for a pair: members
-outside a bucket's largest component with each other and with all of that component. A pair is met only in the first of the
-bands that it shares. Pairs in one component can't change it.
+the nearest sketch; most copies of a group are joined so at a cost in proportion to their number. Confirmed links are contracted to
+components. What is then still in different components of one bucket is compared in full, block by block and without a row for a
+pair: members outside a bucket's largest component with each other and with all of that component. Where that would be more than
+PAIRS comparisons a member, members of such buckets are first dealt anew and propose the nearest sketch of another component (at most
+DEALS times). A pair is met only in the first of the bands that it shares. Pairs in one component can't change it.
 
 A leader's text goes once to each chunk of the members that propose it (CHUNK shingles a chunk, by a bound on what may propose it),
 not once a pair; chunks are spread by their hash.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, give_back, slices, table, whole_groups, wide
+from .common import components, cut, give_back, slices, table, unplaced, whole_groups, wide
 from .hashing import joined, mix, word_hashes, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BITS = 2, 80, 24, 4, 512
@@ -41,10 +41,11 @@ SHINGLE, THRESHOLD, BANDS, ROWS, BITS = 2, 80, 24, 4, 512
 FLIPPED = 77
 #: With at most so many a leader is near enough, and no nearer member is looked for.
 SURE = 24
-#: Rounds in which the members of a bucket that are in different components are dealt anew.
-DEALS = 1
+DEALS, PAIRS = 4, 2000
 #: Members of a bucket in a block, and shingles of a block or a chunk, on average.
-BLOCK, CHUNK = 512, 200_000
+BLOCK, CHUNK = 512, 50_000
+#: What a row costs besides its shingles, in shingles.
+ROW = 100
 _INSIDE = np.ones(256, bool)
 _INSIDE[[32, 10]] = False
 
@@ -153,7 +154,7 @@ def _dealt(rows: DataFrame, by: list) -> DataFrame:
 
 
 def _proposals(rows: DataFrame, leaders: bool) -> DataFrame:
-    """Distinct pairs (a, b) that a block's members propose, b the one with more candidates, and the chunk of b that a belongs to.
+    """Distinct pairs (a, b) that a block's members propose, b the one with more candidates, the chunk of b that a belongs to, and (ao, bo) their order by candidates.
 
     leaders: each member's leader, and the nearest sketch if the leader isn't near; else the nearest sketch of another component.
     """
@@ -198,24 +199,24 @@ def _proposals(rows: DataFrame, leaders: bool) -> DataFrame:
             a, b = np.where(more, other, one), np.where(more, one, other)
             chunks = np.maximum(p[b] // (BANDS * CHUNK), 1)
             chunk = (mix(ids[a].astype(np.uint64)) % chunks.astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(chunk)], ["a", "b", "chunk"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(chunk), pa.array(-p[a]), pa.array(-p[b])], ["a", "b", "chunk", "ao", "bo"])
         give_back()
 
-    return rows.mapInArrow(run, "a long, b long, chunk long").distinct()
+    return rows.mapInArrow(run, "a long, b long, chunk long, ao long, bo long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Of pairs (a, b, chunk), those whose full sets confirm the threshold."""
-    asked = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("of"), "chunk", F.lit(1).alias("turn"))
-    asked = asked.union(pairs.select(F.col("b").alias("doc_id"), F.col("b").alias("of"), "chunk", F.lit(0).alias("turn")).distinct())
-    rows = asked.join(texts, "doc_id").select("of", "chunk", "turn", "doc_id", "text")
+    """Of pairs (a, b, chunk, ao, bo), those whose full sets confirm the threshold."""
+    asked = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("of"), "chunk", F.lit(1).alias("turn"), "ao", "bo")
+    asked = asked.union(pairs.select(F.col("b").alias("doc_id"), F.col("b").alias("of"), "chunk", F.lit(0).alias("turn"), F.col("bo").alias("ao"), "bo").distinct())
+    rows = asked.join(texts, "doc_id").select("of", "chunk", "turn", "doc_id", "ao", "bo", "text")
     rows = rows.repartition(wide(pairs), "of", "chunk").sortWithinPartitions("of", "chunk", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hubs = None, []  # the group, and of its leader's text (or texts, if the id has several) hashes, words and shingles
         for batch in batches:
-            ids, of, chunk, turn = (batch.column(c).to_numpy() for c in ("doc_id", "of", "chunk", "turn"))
-            a, b = [], []
+            ids, of, chunk, turn, ao, bo = (batch.column(c).to_numpy() for c in ("doc_id", "of", "chunk", "turn", "ao", "bo"))
+            hit = []
             for at, some in slices(batch.column("text").to_pylist(), 1 << 20):
                 lines = [split(t) for t in some]
                 sh, first = hashed([b" ".join(x) for x in lines], n)
@@ -232,12 +233,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                         if both and 100 * both >= THRESHOLD * (len(own) + len(hub[0]) - both):
                             hub[2] = hub[2] or shingles(hub[1], n)
                             if alike(shingles(line, n), hub[2]):
-                                a.append(ids[k])
-                                b.append(of[k])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                                hit.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(v[hit]) for v in (ids, of, ao, bo)], ["a", "b", "ao", "bo"])
         give_back()
 
-    return cut(rows.mapInArrow(run, "a long, b long"))
+    return cut(rows.mapInArrow(run, "a long, b long, ao long, bo long"))
 
 
 def _rest(rows: DataFrame, tops: DataFrame, holders: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -313,7 +313,7 @@ def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """label (node, component) with links (a, b) taken in; None as long as there is no link."""
     if label is not None:  # links between components found so far
         for side in ("a", "b"):
-            links = links.join(label, links[side] == label.node, "left").withColumn(side, F.coalesce("component", side)).drop("node", "component")
+            links = links.select("a", "b").join(label, links[side] == label.node, "left").withColumn(side, F.coalesce("component", side)).drop("node", "component")
     more = cut(components(links))
     if label is None or more.isEmpty():
         return label if label is not None else more
@@ -329,35 +329,40 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     real = rows.where("doc_id is not null and n_shingles > 0")
     classes = cut(real.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x")).select("h1", "h2", "x.*"))
     banded = classes.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") + ROW).alias("weight")).where("n > 1").select(unplaced("key"), "n", "weight")
     members = cut(banded.select("key", "doc_id").join(shared, "key"))
     rank = members.groupBy("doc_id").agg(F.sum("weight").alias("p"))  # the more candidates, the nearer to a group's middle
     holders = cut(classes.select("doc_id", "n_shingles", "bands", "sketch").join(rank, "doc_id"))
     texts = docs.where("doc_id is not null")
-    size = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / (8 * CHUNK))).cast("long")
+    size = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / (32 * CHUNK))).cast("long")
     in_blocks = members.select("key", "doc_id", size.alias("blocks"))
     slot = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), "blocks")
     blocked = lambda x, k: _dealt(x.withColumn("slot", slot(k)).join(holders.drop("bands"), "doc_id"), ["key", "slot"])
 
     pairs = cut(_proposals(blocked(in_blocks.withColumn("c", F.col("doc_id")), 0), True))
     label = _merged(None, _confirmed(pairs, texts, n))
-    for k in range(1, DEALS + 2):
+    deals = 0
+    while True:
         # Only buckets that hold several components are looked at again.
         named = in_blocks.join(label, in_blocks.doc_id == label.node, "left").select("key", "doc_id", "blocks", F.coalesce("component", "doc_id").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-        in_blocks = cut(named.join(mixed, "key"))
-        if k <= DEALS:
-            new = _proposals(blocked(in_blocks, k), False).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-            links = _confirmed(cut(new), texts, n)
-        else:
-            each = in_blocks.groupBy("key", "c").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).groupBy("key")
-            tops = each.agg(F.max(F.struct("n", "c")).alias("t"), F.sum("n").alias("n"), F.max("blocks").alias("blocks"))
-            share = lambda x: F.ceil(F.col("blocks") * F.col(x) / F.col("n")).cast("long")
-            tops = tops.select("key", "n", "blocks", F.col("t.c").alias("top"), F.col("t.n").alias("m"), F.expr("n - t.n").alias("l"))
-            tops = tops.select("key", "top", share("l").alias("others"), share("m").alias("tops"))
-            links = _rest(in_blocks.select("key", "doc_id", "c"), tops, holders, texts, n)
-        label = _merged(label, links)
-        in_blocks = in_blocks.drop("c")
+        mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select(unplaced("key"))
+        now = cut(named.join(mixed, "key"))
+        each = now.groupBy("key", "c").agg(F.count("*").alias("n"), F.max("blocks").alias("blocks")).groupBy("key")
+        tops = each.agg(F.max(F.struct("n", "c")).alias("t"), F.sum("n").alias("n"), F.max("blocks").alias("blocks"))
+        tops = cut(tops.select(unplaced("key"), "n", "blocks", F.col("t.c").alias("top"), F.col("t.n").alias("m"), F.expr("n - t.n").alias("l")))
+        work, n_now = tops.agg(F.sum(F.expr("cast(l as double) * (m + l / 2)")), F.sum("n")).first()
+        if not n_now:
+            break
+        in_blocks = now.drop("c")
+        if work > PAIRS * n_now and deals < DEALS:
+            deals += 1
+            new = cut(_proposals(blocked(now, deals), False).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+            label = _merged(label, _confirmed(new, texts, n))
+            continue
+        share = lambda x: F.ceil(F.col("blocks") * F.col(x) / F.col("n")).cast("long")
+        tops = tops.select("key", "top", share("l").alias("others"), share("m").alias("tops"))
+        label = _merged(label, _rest(now.select("key", "doc_id", "c"), tops, holders, texts, n))
+        break
     named = classes.select("h1", "h2", F.col("doc_id").alias("holder")).join(label, F.col("holder") == label.node, "left")
     named = named.select("h1", "h2", F.coalesce("component", "holder").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2", F.expr("if(n_shingles > 0, h1, null)").alias("k1")).alias("r")
