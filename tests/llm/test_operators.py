@@ -74,8 +74,9 @@ def test_minhash_odd_cases(spark):
     assert minhash.near_duplicates(fixture(spark, []).limit(0)).count() == 0
 
 
-def test_minhash_leftovers_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "DEALS", 0)
+@pytest.mark.parametrize("pairs", [0, 1 << 40])
+def test_minhash_leftovers_are_compared_in_blocks(spark, monkeypatch, pairs):
+    monkeypatch.setattr(minhash, "PAIRS", pairs)
     monkeypatch.setattr(minhash, "BLOCK", 3)
     base = [f"w{i}" for i in range(60)]
     rows = [(k, " ".join(base[:4 * k] + [f"x{k}_{i}" for i in range(4)] + base[4 * k + 4 :])) for k in range(12)]
@@ -332,7 +333,7 @@ def test_ann_recall_on_near_copies(groups, size, noise):
     x /= np.linalg.norm(x, axis=1)[:, None]
     index = ann.Index(x[: ann.FIT_ROWS])
     lists, q = ann.nearest(x, index.centres), np.arange(0, len(x), 100)
-    probed, found = index.probes(x[q], ann.PROBES), defaultdict(list)
+    probed, found = index.probes(x[q], index.enough(x[: ann.FIT_ROWS], 20)), defaultdict(list)
     for at in range(len(index.centres)):
         asked, own = q[(probed == at).any(1)], np.flatnonzero(lists == at)
         for block in np.array_split(own, -(-len(own) // ann.BLOCK)) if len(own) and len(asked) else ():
@@ -467,3 +468,255 @@ def test_sql(spark):
     got = registry.QUERIES["op5_embedding_dedup"](spark, SF)
     names = sorted(got.columns)
     assert sorted(map(tuple, got.select(names).collect())) == sorted(c.sql(registry.SQL["op5_embedding_dedup"]).select(*names).fetchall())
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n)), "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_for_polynomials(spark):
+    x, y = thue_morse(1024)
+    d = np.frombuffer(f"{x} {y}".encode(), np.uint8)
+    h = substring_dedup.prefix(d)
+    assert substring_dedup.spans(h, np.array([0]), np.array([1024])) == substring_dedup.spans(h, np.array([1025]), np.array([2049]))
+    words = packing._words(packing._path(packing.TOKENIZER))
+    for t, ids in zip([x, y, f"{x} {y} {x}"], words.encode([x, y, f"{x} {y} {x}"])):
+        assert ids.tolist() == words.whole.encode(t, add_special_tokens=False).ids
+    rows = [(1, f"{x} one two three"), (2, f"{y} one two three"), (3, f"{x} {x[:64]} {y} {y[:64]}"), (4, f"{y} {x[:64]} {x} {y[:64]}")]
+    want = brute_links(rows, 2)
+    assert all(tuple(r) == want[r.doc_id] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_words_of_equal_hashes_are_told_apart(spark, monkeypatch, documents):
+    weak = packing.word_hashes
+    monkeypatch.setattr(packing, "word_hashes", lambda *a: weak(*a) & np.uint64(63))
+    words = packing.Words(packing._path(packing.TOKENIZER))
+    texts = [t for _, t in documents]
+    for t, ids in zip(texts, words.encode(texts)):
+        assert ids.tolist() == words.whole.encode(t or "", add_special_tokens=False).ids
+
+
+def test_links_hold_on_words_not_on_hashes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "alike", lambda a, b: False)
+    rows = [(1, A), (2, A + " end")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == 2  # a worker imports its own module; the decision itself is tested here
+    assert not minhash.alike({(b"a",)}, {(b"a",)})
+    monkeypatch.undo()
+    a, b = (minhash.shingles(minhash.split(t), 2) for t in (A, A + " end"))
+    assert minhash.alike(a, b) and not minhash.alike(a, {(b"x", b"y")}) and not minhash.alike(set(), set())
+
+
+def test_minhash_hub_in_several_chunks_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 20)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for k in range(60):
+        own = base.copy()
+        for i in rng.choice(80, k % 9, replace=False):
+            own[i] = f"x{k}_{i}"
+        rows.append((k, " ".join(own)))
+    rows += [(100, " ".join(f"z{i}" for i in range(100_000))), (101, " ".join(f"z{i}" for i in range(99_000))), (102, "y" * 1_000_000), (103, None)]
+    want = brute_links(rows, 2)
+    assert all(tuple(r) == want[r.doc_id] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def bins(pieces, size):
+    """The least number of sequences, by trying all."""
+    pieces, best = sorted(pieces, reverse=True), [len(pieces)]
+
+    def put(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= pieces[i]:
+                rest = rooms.copy()
+                rest.remove(r)
+                put(i + 1, [*rest, r - pieces[i]])
+        put(i + 1, [*rooms, size - pieces[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_reduction_keeps_the_optimum():
+    import random
+
+    rng, triples, least = random.Random(7), 0, 0
+    for _ in range(400):
+        size = rng.choice([10, 20, 30])
+        low = rng.choice([1, 3, size // 4])
+        lengths = Counter(rng.randint(low, size) for _ in range(rng.randint(1, 10)))
+        fixed, left = packing.reduction(lengths, size)
+        held = Counter()
+        for found, times in fixed:
+            assert sum(found) <= size and len(found) <= 3
+            triples += len(found) == 3
+            held.update({x: m * times for x, m in Counter(found).items()})
+        assert held + left == lengths
+        optimum = bins(list(lengths.elements()), size)
+        assert sum(times for _, times in fixed) + bins(list(left.elements()), size) == optimum
+        n = packing.plan(lengths, size)[1]
+        assert optimum <= n <= optimum + 1
+        least += n == optimum
+    assert triples > 20 and least >= 390
+
+
+def test_reduction_in_bulk():
+    assert packing.reduction({4: 1000, 3: 2000}, 10) == packing.reduction({3: 2000, 4: 1000}, 10)
+    fixed, left = packing.reduction({4: 1000, 3: 2000}, 10)
+    assert not left and sum(t for _, t in fixed) == 1000 and {tuple(sorted(f)) for f, _ in fixed} == {(3, 3, 4)}
+
+
+def brute_weights(rows, good):
+    rule = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x09-\x0d\x20]+")
+
+    def grams(t):
+        w = rule.findall((t or "").encode())
+        h = [int(packing.joined and importance.spans(importance.prefix(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)]))[0]) for x in w]
+        two = [int(importance.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) for a, b in zip(h, h[1:])]
+        return [x % importance.BUCKETS for x in h + two]
+
+    of = [grams(t) for _, t in rows]
+    raw, target = Counter(x for g in of for x in g), Counter(x for (i, _), g in zip(rows, of) if i in good for x in g)
+    share = sum(target.values()) / sum(raw.values())
+    return [sum(math.log(target[x] + importance.SMOOTH) - math.log(raw[x] * share + importance.SMOOTH) for x in g) if g else None for g in of]
+
+
+def test_quality_against_brute_force(spark, documents):
+    labels = {i: i % 3 > 0 for i, _ in documents if i % 2}
+    frame = spark.createDataFrame([(i, int(q)) for i, q in labels.items()], "doc_id long, quality int")
+    want = dict(zip((i for i, _ in documents), brute_weights(documents, {i for i, q in labels.items() if q})))
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    for share in (None, 0.1):
+        got = importance.classify(docs, frame, share).collect()
+        with_text = [i for i, t in documents if want[i] is not None]
+        known = [labels[i] for i in with_text if i in labels]
+        k = round((sum(known) / len(known) if share is None else share) * len(with_text))
+        noise = {r.doc_id: r.g for r in docs.select("doc_id", importance.gumbel(F.lit(importance.SEED), F.col("doc_id")).alias("g")).collect()}
+        kept = set(sorted(with_text, key=lambda i: (-(want[i] + noise[i]), i))[:k])
+        assert len(got) == len(documents) and {r.doc_id for r in got if r.kept} == kept
+        assert all((r.weight is None) == (want[r.doc_id] is None) and (r.weight is None or abs(r.weight - want[r.doc_id]) < 1e-6) for r in got)
+
+
+def test_gumbel_keeps_in_proportion_to_the_ratio(spark):
+    weight = np.array([0.0, 1.0, -1.0, 0.5, 2.0])
+    rows = spark.range(5).withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weight)), F.col("id").cast("int") + 1)).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(20_000))))
+    first = rows.withColumn("g", F.col("w") + importance.gumbel(F.col("seed"), F.col("id"))).groupBy("seed").agg(F.max_by("id", "g").alias("id")).groupBy("id").count().collect()
+    got = np.zeros(5)
+    for r in first:
+        got[r.id] = r["count"] / 20_000
+    assert np.abs(got - np.exp(weight) / np.exp(weight).sum()).max() < 0.015
+
+
+def test_quality_last_of_many_and_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(importance, "CELLS", 8)
+    rng = np.random.default_rng(2)
+    keys = [float(x) for x in np.concatenate([rng.normal(size=300), rng.normal(size=20) * 1e6, [0.25] * 60])]
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(keys)] + [(0.25, 7)] * 40 + [(0.25, None)], "gumbel_key double, doc_id long")
+    order = sorted((tuple(r) for r in rows.collect()), key=lambda r: (-r[0], math.inf if r[1] is None else r[1]))
+    for k in (1, 2, 100, 170, 200, 260, len(order)):
+        assert importance._last(rows, k) == order[k - 1]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>One, two, three.</p></article>", "Title\n\nOne, two, three."),
+    ("<article><p>One, two, three.</p><p class='market-share'>It, too, rose.</p></article>", "One, two, three.\n\nIt, too, rose."),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be, so.</p></article>", "Let x=1 be, so."),
+    ("<article><p>See <object data=a.svg>the chart</object>, so.</p></article>", "See the chart, so."),
+    ("<div class=content><p>One, two, three four.</p><p><a href=x>All of it, linked</a></p><ul><li><a>x</a></li><li><a>y</a></li></ul></div>", "One, two, three four.\n\nAll of it, linked"),
+    ("<body><div class='content has-sidebar'><p>One, two, three.</p></div><div class='site-menu'><p>Home, away.</p></div><div id=page-header><p>Site, name.</p></div></body>", "One, two, three."),
+])
+def test_html_keeps_all_of_an_article(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_html_deep_and_long_pages(spark):
+    import time
+
+    began = time.time()
+    for k in (1, 50_000):
+        assert html_extract.main_text("<div>" * k + "<p>Hello, there, you.</p>" + "</div>" * k) == "Hello, there, you."
+        assert html_extract.main_text("<b><div><p>Hello, there." + "<i>" * k + "</b>" * k + "<div></div>" * k) == "Hello, there."
+    long = "<article>" + "".join(f"<p>Word {i}, and more.</p>" for i in range(50_000)) + "</article>"
+    assert html_extract.main_text(long).count("\n\n") == 49_999
+    assert time.time() - began < 30
+    pages = spark.createDataFrame([(1, "u", "<p>x", "t", 1)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_extract.extract(pages).collect()] == [(1, "u", "x", 1)]
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_pii_cues_in_any_case():
+    value = "abcdEFGH12345678zz"
+    for cue in ("API key: ", "Api Key = ", "api_key=", "API-KEY: ", '"apiKey": "', "Secret is ", "ACCESS KEY: "):
+        assert [(k, f"{cue}{value}"[s:e]) for k, s, e in pii.find(f"{cue}{value}")] == [("secret", value)]
+    for cue in ("Social Security Number: ", "SSN ", "social-security no. "):
+        assert [k for k, _, _ in pii.find(f"{cue}123-45-6789 x")] == ["ssn"]
+    text = "see http://10.0.0.1/x?a=b@c.de, İ Token = " + value
+    assert [(k, text[s:e]) for k, s, e in pii.find(text)] == [("url", "http://10.0.0.1/x?a=b@c.de"), ("ip", "10.0.0.1"), ("email", "b@c.de"), ("secret", value)]
+    assert pii.redacted(text) == "see <URL>, İ Token = <SECRET>"
+
+
+def test_pii_and_licenses_of_odd_tables(spark):
+    odd = spark.createDataFrame([(1, "a@b.cd under the MIT license", "x", 1, "y")], "doc_id long, text string, spans string, n_email int, labels string")
+    assert [r.spans for r in pii.detect(odd).collect()] == ["email:0:6"] and pii.detect(odd.limit(0)).count() == 0
+    assert [r.labels for r in licenses.scan(odd).collect()] == ["mit"] and licenses.scan(odd.limit(0)).count() == 0
+
+
+def test_vectors_of_many_dimensions():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3000))
+    x[100:] = x[:100] + 0.32 * rng.normal(size=(100, 3000))  # cosines about 0.95
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.95)) if i < j}
+    got = {(int(i), int(j)) for a, b in vector_dedup.tile_links(x, x, True, 0.95) for i, j in zip(a, b)}
+    assert got == want and 10 < len(want) < 100
+
+
+def test_ann_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    monkeypatch.setattr(ann, "ASKED", 7)
+    x, df = vectors(spark)
+    got = defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 5 = 0"), k=20, probes=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 600, 5):
+        s = (x * x[q]).sum(1)
+        same = [i for i in np.lexsort((np.arange(600), -s)) if i != q][:20]
+        assert [s[i] for i in got[q]] == pytest.approx([s[i] for i in same])
+
+
+@pytest.mark.parametrize("name, value", [("SLICE", 2), ("LEAVES", 0), ("DIGITS", 1)])
+def test_mixing_other_ways(spark, monkeypatch, name, value):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("full_epochs", F.lit("own")).withColumn("Place", F.lit(1))
+    want = sorted(map(str, mixing.mix(docs, 30_000).drop("text").collect()))
+    monkeypatch.setattr(mixing, name, value)
+    if name == "DIGITS":
+        monkeypatch.setattr(mixing, "SLICE", 1)
+    got = mixing.mix(docs, 30_000)
+    assert {"full_epochs", "Place"} <= set(got.columns) and want == sorted(map(str, got.drop("text").collect()))
+
+
+def test_mixing_ties_and_repeated_rows(spark):
+    rows = [(i % 3, "a b c", "en", "s0") for i in range(30)] + [(None, "d e", "en", "s0")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = Counter(r.doc_id for r in mixing.mix(docs, 50).collect())
+    assert {n for n in got.values()} <= {5, 10} and 0 < sum(got.values()) < 35  # copies go together
+
+
+def test_pipeline_odd_cases(spark, tmp_path):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in ([], DOCS + DOCS):
+        docs = fixture(spark, rows) if rows else fixture(spark).limit(0)
+        docs = docs.withColumn("weight", F.lit(1)).withColumn("domain", F.lit("x"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            at = str(tmp_path / f"{len(rows)}-{k}")
+            stage(spark, docs, str(tmp_path)).write.parquet(at)
+            docs = spark.read.parquet(at)
+        assert (docs.count() > 0) == bool(rows)
