@@ -9,17 +9,18 @@ depends on the order of records in another way, the loop runs record by record o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import conditions, intrinsics, moves, numeric, strings
 from ..operators import records
-from ..picture import Field, Layout
+from ..picture import Field, Layout, picture
 from ..sources import files
 from ..sql import Session
 from . import source, values
@@ -47,6 +48,22 @@ class Leave(Exception):
     pass
 
 
+class Jump(Exception):
+    """GO TO a paragraph."""
+
+    def __init__(self, name: str):
+        super().__init__(name)
+        self.name = name
+
+
+class LeaveLoop(Exception):
+    pass
+
+
+class Cycle(Exception):
+    pass
+
+
 @dataclass
 class File:
     name: str
@@ -61,6 +78,13 @@ class File:
     reads: int = 0
     chunks: list = field(default_factory=list)
     status: str = ""
+    at: DataFrame | None = None  # the records from START's position on
+    changes: dict = field(default_factory=dict)  # by key or rrn: the record that a statement on the driver left, null if deleted
+    dirty: bool = False
+    last: object = None  # rrn of the record that was read last
+
+    def show(self) -> str:
+        return self.name.replace("_", "-")
 
 
 def _sections(text: str, *names: str) -> dict[str, str]:
@@ -82,29 +106,41 @@ class Program:
             state = re.search(r"STATUS\s+(?:IS\s+)?([\w-]+)", m[3], re.IGNORECASE)
             name = m[1].upper().replace("-", "_")
             self.files[name] = File(name, m[2].strip("'\""), re.sub(r"\s+", " ", org[1].upper()) if org else "SEQUENTIAL", key[1].upper().replace("-", "_") if key else None, status=state[1].upper().replace("-", "_") if state else "")
+        own = re.search(r"\bSPECIAL-NAMES\s*\.(.*?)(?=\b(?:INPUT-OUTPUT\s+SECTION|FILE-CONTROL|DATA\s+DIVISION)\b|$)", head, re.IGNORECASE | re.DOTALL)
+        sign = re.search(r"CURRENCY\s+(?:SIGN\s+)?(?:IS\s+)?['\"](.)['\"]", own[1] if own else "", re.IGNORECASE)
+        self.style = (sign[1] if sign else "$", bool(own and re.search(r"DECIMAL-POINT\s+(?:IS\s+)?COMMA", own[1], re.IGNORECASE)))
+        if self.style[1]:  # numbers have commas for points
+            body = re.sub(r"(?<=\d),(?=\d)", ".", body)
+            head = re.sub(r"(\bVALUE\s+(?:IS\s+)?[+-]?\d*),(?=\d)", r"\1.", head, flags=re.IGNORECASE)
         parts = _sections(re.split(r"\bDATA\s+DIVISION\s*\.", head, flags=re.IGNORECASE)[-1], r"FILE\s+SECTION", r"WORKING-STORAGE\s+SECTION", r"LOCAL-STORAGE\s+SECTION", r"LINKAGE\s+SECTION")
         self.fields: dict[str, Field] = {}
         self.parents: dict[str, list[Field]] = {}
-        self.base: dict[str, Field] = {}
+        #: By declared name: the name here (another one if it was declared before), and the groups, record and file around it.
+        self.named: dict[str, list[tuple[str, list[str]]]] = {}
+        self.declared: dict[str, str] = {}
         for m in re.finditer(r"\b(?:FD|SD)\s+([\w-]+)(.*?)(?=\bFD\s|\bSD\s|$)", parts.get("FILE SECTION", ""), re.IGNORECASE | re.DOTALL):
             f = self.files.setdefault(m[1].upper().replace("-", "_"), File(m[1].upper().replace("-", "_"), m[1]))
             body_at = re.search(r"\b01\s", m[2])
-            for top in self._declared(m[2][body_at.start() :] if body_at else ""):
+            for top in self._declared(m[2][body_at.start() :] if body_at else "", [f.name]):
                 if not f.record:
                     f.record, f.layout = top.name, Layout.of(top.name, *(top.children or (top,)))
+            f.key = self._of_file(f, f.key) if f.key else None
         for name in ("WORKING-STORAGE SECTION", "LOCAL-STORAGE SECTION", "LINKAGE SECTION"):
             self._declared(parts.get(name, ""))
         self.using, self.paragraphs, errors = paragraphs(source.words(body.lstrip().removeprefix(".") if body else ""))
         self.diagnostics += [Diagnostic("ERROR", e) for e in errors]
         self.records = {f.record: f for f in self.files.values()}
         self.names88 = {n: f for f in self.fields.values() for n, _ in f.conditions}
-        for at in self._names(list(self.paragraphs.values())):
-            if at not in self.fields and at not in self.names88 and at not in ("SQLCODE", "RETURN_CODE") and at not in self.files:
-                self.diagnostics.append(Diagnostic("ERROR", f"{at} isn't declared"))
+        self.paragraphs = self._settled(self.paragraphs)
+        for at in sorted(self._names(list(self.paragraphs.values()))):
+            if at not in self.fields and at not in self.names88 and at not in REGISTERS and at not in self.files:
+                several = len(self._found(at)) > 1
+                self.diagnostics.append(Diagnostic("ERROR", f"{at.replace('@', ' OF ')} " + ("is declared more than once" if several else "isn't declared")))
+        self._noted(list(self.paragraphs.values()))
         self.display: list[str | DataFrame] = []
 
     # data division
-    def _declared(self, text: str) -> list[Field]:
+    def _declared(self, text: str, owner: list[str] | None = None) -> list[Field]:
         if not text.strip():
             return []
         unnamed = count(1)
@@ -115,15 +151,65 @@ class Program:
         if layout.name != "RECORD":
             tops = (Field(layout.name, children=layout.fields),)
 
+        def own(f: Field, above: list[str]) -> Field:
+            """The field under a name that no other field has."""
+            held = self.named.setdefault(f.name, [])
+            name = f"{f.name}__{len(held)}" if held else f.name
+            held.append((name, above))
+            self.declared[name] = f.name
+            pic = f.pic
+            if pic and pic.category == "edited" and self.style[1]:
+                pic = picture(pic.text.translate(str.maketrans(".,", ",.")))
+            children = tuple(own(c, [*above, f.name]) for c in f.children)
+            return replace(f, name=name, pic=pic, children=children, redefines=self.named[f.redefines][-1][0] if f.redefines else None, style=self.style)
+
         def down(f: Field, above: list[Field]) -> None:
             self.fields[f.name], self.parents[f.name] = f, above
             for c in f.children:
                 down(c, [*above, f])
 
+        tops = tuple(own(t, owner or []) for t in tops)
         for t in tops:
             down(t, [])
         return list(tops)
 
+    def _found(self, name: str) -> list[str]:
+        """The fields that a name with qualifiers (A@B: A OF B) may mean."""
+        base, *of = name.split("@")
+
+        def within(above: list[str]) -> bool:
+            rest = iter(reversed(above))
+            return all(any(x == q for x in rest) for q in of)
+
+        return [n for n, above in self.named.get(base, []) if within(above)]
+
+    def _of_file(self, f: File, name: str) -> str:
+        """The field of a file's record that a key names."""
+        return next((n for n, above in self.named.get(name, []) if f.name in above), name)
+
+    def _settled(self, tree: object) -> object:
+        """Statements with each name that means one field in its form here."""
+        if isinstance(tree, tuple) and len(tree) == 4 and tree[0] == "ref":
+            found = self._found(tree[1])
+            base = tree[1].split("@")[0]
+            name = found[0] if len(found) == 1 else base if not found and base in self.names88 else tree[1]
+            return ("ref", name, self._settled(tree[2]), self._settled(tree[3]))
+        if isinstance(tree, (list, tuple)):
+            return type(tree)(self._settled(x) for x in tree)
+        return {k: self._settled(v) for k, v in tree.items()} if isinstance(tree, dict) else tree
+
+    def _noted(self, tree: object) -> None:
+        """Diagnostics of statements that go nowhere, or do nothing."""
+        if isinstance(tree, tuple) and len(tree) == 3 and tree[0] == "GO":
+            self.diagnostics += [Diagnostic("ERROR", f"GO TO {n}: no such paragraph") for n in tree[1] if n not in self.paragraphs]
+        elif isinstance(tree, tuple) and len(tree) == 3 and tree[0] == "NOTHING":
+            self.diagnostics.append(Diagnostic("WARNING", f"{tree[1]} does nothing" + (": use operators.records.control_break" if tree[1] in ("INITIATE", "GENERATE", "TERMINATE", "SUPPRESS") else "")))
+        elif isinstance(tree, (list, tuple)):
+            for x in tree:
+                self._noted(x)
+        elif isinstance(tree, dict):
+            self._noted(list(tree.values()))
+
     def _names(self, tree: object) -> set[str]:
         """Names that statements refer to."""
         if isinstance(tree, tuple) and len(tree) == 4 and tree[0] == "ref":
@@ -139,14 +225,22 @@ class Program:
         return [f] if f.pic else [x for c in f.children if not c.redefines for x in self.leaves(c)]
 
     # running
-    def run(self, spark: SparkSession, paths: dict[str, str] | None = None, tables: dict[str, DataFrame] | None = None, programs: dict[str, Program] | None = None, arguments: list[V] | None = None) -> Program:
-        """Runs the program: paths by ASSIGN name, files that are DataFrames by file name, programs for CALL."""
+    def run(self, spark: SparkSession, paths: dict[str, str] | None = None, tables: dict[str, DataFrame] | None = None, programs: dict[str, Program] | None = None, arguments: list[V] | None = None, inputs: list[str] | None = None, methods: dict[str, Callable[..., Column]] | None = None, hooks: dict[str, dict[str, Callable[[File], None]]] | None = None) -> Program:
+        """Runs the program: paths by ASSIGN name, files that are DataFrames by file name, programs for CALL.
+
+        inputs: lines for ACCEPT; methods: functions of Columns for INVOKE, by name; hooks: by file name, what is called on "open" and "close".
+        """
         bad = [d.text for d in self.diagnostics if d.level == "ERROR"]
         if bad:
             raise UnsupportedVerbError("; ".join(bad))
         self.spark, self.paths, self.programs, self.tables = spark, paths or {}, programs or {}, {k.upper().replace("-", "_"): v for k, v in (tables or {}).items()}
         self.session, self.env, self.loop, self.display = Session(spark), {}, None, []
-        self.env["SQLCODE"] = self.env["RETURN_CODE"] = V(Decimal(0), True)
+        self.inputs, self.methods = iter(inputs or ()), {k.upper(): v for k, v in (methods or {}).items()}
+        self.hooks = {k.upper().replace("-", "_"): v for k, v in (hooks or {}).items()}
+        for n in REGISTERS:
+            self.env[n] = V(Decimal(0), True)
+        for f in self.files.values():
+            f.mode, f.data, f.rows, f.reads, f.chunks, f.at, f.changes, f.dirty = "", None, None, 0, [], None, {}, False
         for f in self.fields.values():
             if f.pic and not self._redefined(f.name):
                 start = values.filled("ZEROS" if f.pic.numeric else "SPACES", f)
@@ -156,16 +250,26 @@ class Program:
                 self.env[f.name] = [start] * n if (n := self.occurs(f.name)) > 1 else start
         for name, v in zip(self.using, arguments or []):
             self.assign(("ref", name, [], None), v)
-        order = list(self.paragraphs)
         try:
-            for p in order:
-                self.paragraph(p)
+            self.through(list(self.paragraphs))
         except Stop:
             pass
         for f in self.files.values():
             self._flush(f)
         return self
 
+    def through(self, names: list[str]) -> None:
+        """Paragraphs in their order; GO TO one of them goes on from there, to another one leaves."""
+        i = 0
+        while i < len(names):
+            try:
+                self.paragraph(names[i])
+                i += 1
+            except Jump as j:
+                if j.name not in names:
+                    raise
+                i = names.index(j.name)
+
     def paragraph(self, name: str) -> None:
         try:
             self.block(self.paragraphs[name])
@@ -329,6 +433,9 @@ class Program:
             out = V(intrinsics.call(name, *(column(a) for a in args)), name in NUMERIC)
             out = V(out.value.cast(values.WIDE), True) if out.number else out
             return self.known(out) if all(a.known for a in args) and self.loop is None else out
+        if kind == "&":
+            a, b = (values.text(self.value(x)) for x in e[1:])
+            return V(a.value + b.value) if a.known and b.known else V(F.concat(column(a), column(b)))
         return values.arithmetic(kind, self.value(e[1]), self.value(e[2]))
 
     def test(self, c: tuple) -> V:
@@ -427,8 +534,33 @@ class Program:
             raise Ordered
         raise Leave
 
-    def do_go(self, name: str) -> None:
-        raise UnsupportedVerbError(f"GO TO {name}: only PERFORM is supported")
+    def do_go(self, names: list, on: tuple | None) -> None:
+        if self.loop is not None:
+            raise Ordered
+        k = int(self.known(values.number(self.get(on))).value) if on else 1
+        if 1 <= k <= len(names):
+            raise Jump(names[k - 1])
+
+    def do_exit_perform(self) -> None:
+        raise LeaveLoop if self.loop is None else Ordered
+
+    def do_cycle(self) -> None:
+        raise Cycle if self.loop is None else Ordered
+
+    def do_nothing(self, verb: str, names: list) -> None:
+        pass
+
+    def do_invoke(self, what: tuple, method: tuple, args: list, into: tuple | None) -> None:
+        """INVOKE: a method is a function of Columns, by its name or by object and name."""
+        name = method[1] if method[0] == "text" else self.known(self.value(method)).value
+        own = f"{what[1]}.{name}".upper()
+        f = self.methods.get(own) or self.methods.get(name.upper())
+        if f is None:
+            raise UnsupportedVerbError(f"no method {name}")
+        out = V(f(*(column(self.value(a)) for a in args)))
+        if into:
+            number = self.fields[into[1]].pic.numeric
+            self.assign(into, V(out.value.cast(values.WIDE), True) if number else V(out.value.cast("string")))
 
     def do_move(self, a: tuple, to: list) -> None:
         v = self.value(a)
@@ -436,11 +568,21 @@ class Program:
             f = self.fields.get(r[1])
             self.assign(r, V(a[1] * -(-f.item_size // len(a[1]))) if a[0] == "all" and f else v, a[1] if a[0] == "const" and f else "")
 
-    def do_move_corresponding(self, a: str, b: str) -> None:
-        own = {c.name for c in self.fields[a].children}
-        for c in self.fields[b].children:
-            if c.name in own:
-                self.assign(("ref", c.name, [], None), self.get(("ref", c.name, [], None)))
+    def _alike(self, a: Field, b: Field) -> Iterator[tuple[Field, Field]]:
+        """Fields of two groups with one declared name, of which at least one is elementary; of groups, their fields."""
+        own = {self.declared[c.name]: c for c in a.children if c.occurs == 1 and not c.redefines and not c.name.startswith("FILLER_")}
+        for c in b.children:
+            o = own.get(self.declared[c.name])
+            if o is None or c.occurs > 1 or c.redefines:
+                continue
+            if o.pic is None and c.pic is None:
+                yield from self._alike(o, c)
+            else:
+                yield o, c
+
+    def do_move_corresponding(self, a: tuple, b: tuple) -> None:
+        for x, y in list(self._alike(self.fields[a[1]], self.fields[b[1]])):
+            self.assign(("ref", y.name, [], None), self.get(("ref", x.name, [], None)))
 
     def _total(self, e: list) -> V:
         out = values.number(self.value(e[0]))
@@ -476,10 +618,19 @@ class Program:
     def do_subtract(self, *a) -> None:
         self._arithmetic("-", *a)
 
-    def do_add_corresponding(self, a: str, b: str) -> None:
-        raise UnsupportedVerbError("ADD CORRESPONDING in a program: names are unique here; use functions.moves.corresponding")
+    def _corresponding(self, sign: str, a: tuple, b: tuple, rounded: bool, clauses: dict) -> None:
+        error = V(False)
+        for x, y in list(self._alike(self.fields[a[1]], self.fields[b[1]])):
+            if x.pic and x.pic.numeric and y.pic and y.pic.numeric:
+                to = ("ref", y.name, [], None)
+                error = values.either(error, self.store(to, values.arithmetic(sign, self.get(to), self.get(("ref", x.name, [], None))), rounded))
+        self.errors(error, clauses)
+
+    def do_add_corresponding(self, *a) -> None:
+        self._corresponding("+", *a)
 
-    do_subtract_corresponding = do_add_corresponding
+    def do_subtract_corresponding(self, *a) -> None:
+        self._corresponding("-", *a)
 
     def do_scale(self, op: str, a: tuple, into: list, clauses: dict) -> None:
         error, v = V(False), self.value(a)
@@ -519,21 +670,27 @@ class Program:
             return
 
         def once() -> None:
-            if body is not None:
+            if body is None:
+                self.through(self.thru(*target))
+                return
+            try:
                 self.block(body)
-            else:
-                for p in self.thru(*target):
-                    self.paragraph(p)
+            except Cycle:
+                pass
 
-        if spec is None:
-            once()
-        elif spec[0] == "TIMES":
-            for _ in range(int(self.known(values.number(self.value(spec[1]))).value)):
+        try:
+            if spec is None:
                 once()
-        elif spec[0] == "UNTIL":
-            self._repeat(spec[1], once, after)
-        else:
-            self._vary(spec[1], once, after)
+            elif spec[0] == "TIMES":
+                for _ in range(int(self.known(values.number(self.value(spec[1]))).value)):
+                    once()
+            elif spec[0] == "UNTIL":
+                self._repeat(spec[1], once, after)
+            else:
+                self._vary(spec[1], once, after)
+        except LeaveLoop:
+            if body is None:
+                raise
 
     def _repeat(self, until: tuple, once, after: bool, step=lambda: None) -> None:
         if after:
@@ -569,7 +726,10 @@ class Program:
 
     def do_accept(self, r: tuple, what: str) -> None:
         if not what:
-            raise UnsupportedVerbError("ACCEPT from the console")
+            if self.loop is not None:
+                raise Ordered
+            self.assign(r, V(next(self.inputs, "")))
+            return
         self.assign(r, V(moves.accept(what)) if self.loop is not None else self.known(V(moves.accept(what))))
 
     def do_set_true(self, names: list) -> None:
@@ -596,23 +756,28 @@ class Program:
             self.assign(pointer, V(at.cast("decimal(9,0)"), True))
         self.errors(V(over) if self.loop is not None else self.known(V(over)), clauses)
 
-    def do_unstring(self, x: tuple, delimiters: list, every: bool, into: list, tally: tuple | None, clauses: dict) -> None:
+    def do_unstring(self, x: tuple, delimiters: list, every: bool, into: list, tally: tuple | None, pointer: tuple | None, clauses: dict) -> None:
         marks = [self.known(self.value(d)).value for d in delimiters]
-        got, found, over = strings.unstring(column(values.text(self.get(x))), len(into), *marks, all_=every)
-        for k, (r, d) in enumerate(into):
+        start = column(values.number(self.get(pointer))).cast("int") if pointer else 1
+        got, found, after, over = strings.unstring_from(column(values.text(self.get(x))), len(into), *marks, all_=every, pointer=start)
+        taken = F.array_size(F.filter(got, lambda v: v.isNotNull()))
+        for k, (r, d, n) in enumerate(into):
             v = F.get(got, F.lit(k))
             self.assign(r, V(F.coalesce(v, column(values.text(self.get(r))))))
             if d:
                 self.assign(d, V(F.coalesce(F.get(found, F.lit(k)), F.lit(""))))
+            if n:
+                self.assign(n, V(F.coalesce(F.length(v), column(values.number(self.get(n)))).cast("decimal(9,0)"), True))
         if tally:
-            n = F.array_size(F.filter(got, lambda v: v.isNotNull())).cast("decimal(9,0)")
-            self.store(tally, values.arithmetic("+", self.get(tally), V(n, True)), False)
+            self.store(tally, values.arithmetic("+", self.get(tally), V(taken.cast("decimal(9,0)"), True)), False)
+        if pointer:
+            self.assign(pointer, V(after.cast("decimal(9,0)"), True))
         self.errors(V(over) if self.loop is not None else self.known(V(over)), clauses)
 
     def do_inspect(self, x: tuple, rules: list) -> None:
         const = lambda e: None if e is None else self.known(self.value(e)).value
         t = column(values.text(self.get(x)))
-        for rule in rules:
+        for rule in sorted(rules, key=lambda r: r[0] != "CONVERTING"):
             scope = {k: const(e) for k, e in rule[-1].items()}
             if rule[0] == "TALLYING":
                 n = strings.tally(t, rule[1], const(rule[2]) or "", **scope)
@@ -667,20 +832,58 @@ class Program:
     def do_open(self, opened: list) -> None:
         for mode, name in opened:
             f = self.files[name]
-            f.mode, f.rows, f.reads, f.chunks = mode, None, 0, []
+            if f.mode:
+                self._failed(f, "41", {})
+                continue
+            f.mode, f.rows, f.reads, f.chunks, f.at, f.changes, f.dirty, f.last = mode, None, 0, [], None, {}, mode == "OUTPUT", None
             code = "00"
-            if mode in ("INPUT", "I-O"):
-                code = "00" if f.name in self.tables else files.status(self.paths.get(f.assign, f.assign))
+            if mode in ("INPUT", "I-O") or mode == "EXTEND" and f.key:
+                code = "00" if f.name in self.tables else files.status(self.paths.get(f.assign, f.assign), self.spark)
+                code = "00" if code == "35" and mode == "EXTEND" else code
                 if code != "00" and not f.status:
                     raise FileNotFoundError(f"{f.name}: status {code}")
-                f.data = self._source(f) if code == "00" else self.spark.createDataFrame([], f.layout.struct())
+                there = f.name in self.tables or files.status(self.paths.get(f.assign, f.assign), self.spark) == "00"
+                f.data = self._source(f) if code == "00" and there else self.spark.createDataFrame([], f.layout.struct())
+                f.mode = mode if code == "00" else ""
+            elif f.key:
+                f.data = self.spark.createDataFrame([], f.layout.struct())
             self._status(f, code)
+            if code == "00" and "open" in self.hooks.get(f.name, {}):
+                self.hooks[f.name]["open"](f)
+
+    def _failed(self, f: File, code: str, clauses: dict) -> None:
+        """A statement that a file's state doesn't allow, or whose key isn't right: its status, and the block for it."""
+        if not f.status and "yes" not in clauses:
+            raise OSError(f"{f.show()}: status {code}")
+        self._status(f, code)
+        self.block(clauses.get("yes", []))
+
+    def _current(self, f: File) -> DataFrame:
+        """A file's records with what statements on the driver changed; their number is that of the statements that ran."""
+        if not f.changes:
+            return f.data
+        by, schema = f.key or "rrn", f.layout.struct()
+        names, kind = schema.names, schema[f.key].dataType.simpleString() if f.key else "bigint"
+        gone = self.spark.createDataFrame([(k,) for k in f.changes], f"{by} {kind}")
+        out = f.data.join(gone, by, "left_anti")
+        rows = [(k, *r) for k, r in f.changes.items() if r is not None]
+        if f.key:
+            new = self.spark.createDataFrame([r[1:] for r in rows], schema)
+            return out.select(names).unionByName(new).orderBy(f.key)
+        new = self.spark.createDataFrame(rows, T.StructType([T.StructField("rrn", T.LongType()), *schema]))
+        return out.select("rrn", *names).unionByName(new).orderBy("rrn")
+
+    def _view(self, f: File) -> DataFrame:
+        """The records that READ NEXT gives."""
+        return f.at if f.at is not None else self._current(f) if f.data is not None else self._source(f)
 
     def _source(self, f: File) -> DataFrame:
         if f.name in self.tables:
             own = {c.upper(): c for c in self.tables[f.name].columns}
-            df = self.tables[f.name].select(*(F.col(own[x.name]).cast(x.spark_type()).alias(x.name) if x.name in own else moves.initial(x).alias(x.name) for x in f.layout.fields))
-            return df.withColumn("rrn", F.monotonically_increasing_id())
+            given = lambda x: own.get(x.name) or own.get(self.declared.get(x.name, x.name))
+            df = self.tables[f.name].select(*(F.col(given(x)).cast(x.spark_type()).alias(x.name) if given(x) else moves.initial(x).alias(x.name) for x in f.layout.fields))
+            df = df.withColumn("rrn", F.monotonically_increasing_id())
+            return df.orderBy(f.key) if f.key and f.organization == "INDEXED" else df
         path = self.paths.get(f.assign, f.assign)
         if f.organization == "LINE SEQUENTIAL":
             return files.read_lines(self.spark, path, f.layout).withColumn("rrn", F.monotonically_increasing_id())
@@ -689,12 +892,16 @@ class Program:
 
     def do_close(self, names: list) -> None:
         for n in names:
-            self._flush(self.files[n])
+            f = self.files[n]
+            was = f.mode
+            self._flush(f)
+            self._status(f, "00")
+            if was and "close" in self.hooks.get(f.name, {}):
+                self.hooks[f.name]["close"](f)
 
     def output(self, f: File) -> DataFrame:
-        """What was written to a file, in order."""
-        out, held, columns = None, [], [x.name for x in f.layout.fields]
-        frames: list[DataFrame] = []
+        """What was written to a file, in order; of a keyed file, and of one that was changed in place, all its records."""
+        held, columns, frames = [], [x.name for x in f.layout.fields], []
         schema = f.layout.struct()
         for c in [*f.chunks, None]:
             if isinstance(c, tuple):
@@ -705,19 +912,32 @@ class Program:
                 held = []
             if c is not None:
                 frames.append(c.select(*columns))
+        if f.key and f.data is not None:
+            out = self._current(f).select(*columns)
+            for df in frames:
+                out, rejects = records.write_keyed(out, df, f.key)
+                if not rejects.isEmpty():
+                    self._status(f, "22")
+                    self.diagnostics.append(Diagnostic("WARNING", f"records of {f.show()} were left out: their keys were there (status 22)"))
+            return out.orderBy(f.key)
+        if f.mode == "I-O" and f.data is not None:
+            return self._current(f).select(*columns)
+        out = None
         for df in frames:
             out = df if out is None else out.unionByName(df)
         return out if out is not None else self.spark.createDataFrame([], schema)
 
     def _flush(self, f: File) -> None:
-        if f.mode in ("OUTPUT", "EXTEND", "I-O") and (f.chunks or f.mode == "OUTPUT"):
+        changed = f.chunks or f.dirty or f.changes
+        if f.mode in ("OUTPUT", "EXTEND", "I-O") and changed:
             df, path = self.output(f), self.paths.get(f.assign, f.assign)
-            if path is None:  # kept for output() only
-                pass
+            if path is None or f.mode == "I-O" and f.name in self.tables:  # kept for output() only
+                f.data = df if f.key or f.mode == "I-O" else f.data
+                f.chunks = [] if f.key or f.mode == "I-O" else f.chunks
             elif f.organization == "LINE SEQUENTIAL":
                 files.write_lines(df, path, f.layout)
-            elif f.mode != "I-O":
-                files.write_fixed(df, path, f.layout, mode="append" if f.mode == "EXTEND" else "overwrite")
+            else:
+                files.write_fixed(df, path, f.layout, mode="append" if f.mode == "EXTEND" and not f.key else "overwrite")
         f.mode = ""
 
     def do_read(self, name: str, into: str | None, key: str | None, clauses: dict) -> None:
@@ -732,11 +952,14 @@ class Program:
             self.loop.enter(f, into)
             self.block(clauses.get("not", []))
             return
+        if f.mode in ("OUTPUT", "EXTEND"):
+            self._failed(f, "37", clauses)
+            return
         f.reads += 1
         if f.rows is None:
-            data = f.data if f.data is not None else self._source(f)
-            f.rows = data.toLocalIterator(prefetchPartitions=True)
+            f.rows = self._view(f).toLocalIterator(prefetchPartitions=True)
         row = next(f.rows, None)
+        f.last = row["rrn"] if row is not None and "rrn" in row else None
         self._status(f, "10" if row is None else "00")
         if row is None:
             self.block(clauses.get("yes", []))
@@ -758,13 +981,19 @@ class Program:
             self.env[f.name] = V(value, f.pic.numeric, f) if value is not None else values.filled("ZEROS" if f.pic.numeric else "SPACES", f)
 
     def _keyed(self, f: File, into: str | None, clauses: dict) -> None:
-        data, key = f.data if f.data is not None else self._source(f), self.get(("ref", f.key, [], None))
+        key = self.get(("ref", f.key, [], None))
         if self.loop is None:
-            row = data.where(F.col(f.key) == F.lit(key.value)).first()
+            if key.value in f.changes:
+                held = f.changes[key.value]
+                row = None if held is None else dict(zip(f.layout.struct().names, held))
+            else:
+                row = (f.data if f.data is not None else self._source(f)).where(F.col(f.key) == F.lit(key.value)).first()
             if row is not None:
                 for x in f.layout.fields:
                     self._row(x, row[x.name])
+            self._status(f, "23" if row is None else "00")
         else:
+            data = self._current(f) if f.data is not None else self._source(f)
             n = len(self.loop.joins)
             mine = [x for x in f.layout.fields if x.pic and x.occurs == 1]
             found = data.select(F.struct(*(x.name for x in mine)).alias(f"_hit{n}"), F.col(f.key).alias(f"_key{n}"))
@@ -782,37 +1011,100 @@ class Program:
         f = self.records[record]
         if source_ is not None:
             self.do_move(source_, [("ref", record, [], None)])
-        vs = [self.get(("ref", x.name, [], None)) for x in f.layout.fields]
+        if self.loop is None and f.mode == "INPUT":
+            self._failed(f, "37", clauses)
+            return
+        if f.key and f.data is not None:
+            if self.loop is None:
+                self._write_key(f, clauses)
+                return
+            if clauses:
+                raise Ordered
         blanks = int(self.known(values.number(self.value(advancing[1]))).value) - 1 if advancing and not isinstance(advancing[1], str) else 0
-        empty = [values.filled("ZEROS" if x.pic.numeric else "SPACES", x) for x in f.layout.fields] if blanks > 0 else []
-        rows = [vs] if blanks <= 0 else [empty] * blanks + [vs] if advancing[0] == "AFTER" else [vs] + [empty] * blanks
-        for r in rows:
-            if self.loop is not None:
-                self.loop.emit(("file", f.name), F.struct(*(column(v).cast(x.spark_type()).alias(x.name) for v, x in zip(r, f.layout.fields))))
-            else:
-                f.chunks.append(tuple(self.known(v).value for v in r))
+        empty = [moves.initial(x) for x in f.layout.fields] if blanks > 0 else []
+        if self.loop is not None:
+            own = [self._image(x) for x in f.layout.fields]
+            for r in [own] if blanks <= 0 else [empty] * blanks + [own] if advancing[0] == "AFTER" else [own] + [empty] * blanks:
+                self.loop.emit(("file", f.name), F.struct(*(c.cast(x.spark_type()).alias(x.name) for c, x in zip(r, f.layout.fields))))
+            return
+        one, none = tuple(self._held(x) for x in f.layout.fields), tuple(self._blank(x) for x in f.layout.fields)
+        f.chunks += [one] if blanks <= 0 else [none] * blanks + [one] if advancing[0] == "AFTER" else [one] + [none] * blanks
+        self._status(f, "00")
+
+    def _image(self, x: Field) -> Column:
+        """A field of a record as a column of its type: groups as structs, tables as arrays."""
+        if x.occurs > 1:
+            if x.pic:
+                return F.array(*(column(v) for v in self.env[x.name]))
+            return F.array(*(F.struct(*(column(self.get(("ref", c.name, [("num", Decimal(i + 1))], None))).cast(c.spark_type()).alias(c.name) for c in x.children)) for i in range(x.occurs)))
+        if x.pic is None:
+            return F.struct(*(self._image(c).cast(c.spark_type()).alias(c.name) for c in x.children))
+        return column(self.get(("ref", x.name, [], None)))
+
+    def _held(self, x: Field, i: int | None = None) -> object:
+        """The same on the driver."""
+        if x.occurs > 1 and i is None:
+            return [self._held(x, k + 1) for k in range(x.occurs)]
+        if x.pic is None:
+            return tuple(self._held(c, i) for c in x.children)
+        return self.known(self.get(("ref", x.name, [("num", Decimal(i))] if i else [], None))).value
+
+    def _blank(self, x: Field) -> object:
+        one = tuple(self._blank(c) for c in x.children) if x.pic is None else values.filled("ZEROS" if x.pic.numeric else "SPACES", x).value
+        return [one] * x.occurs if x.occurs > 1 else one
+
+    def _key(self, f: File) -> object:
+        return self.known(self.get(("ref", f.key, [], None))).value
+
+    def _there(self, f: File, key: object) -> bool:
+        return f.changes[key] is not None if key in f.changes else not f.data.where(F.col(f.key) == F.lit(key)).isEmpty()
+
+    def _write_key(self, f: File, clauses: dict) -> None:
+        key = self._key(f)
+        if self._there(f, key):
+            self._failed(f, "22", clauses)
+            return
+        f.changes[key] = tuple(self._held(x) for x in f.layout.fields)
+        self._status(f, "00")
+        self.block(clauses.get("not", []))
 
     def do_rewrite(self, record: str, source_: tuple | None, _: object, clauses: dict) -> None:
         f = self.records[record]
-        if not f.key:
-            raise UnsupportedVerbError("REWRITE of a file without a key: use sources.files.rewrite_file")
         if source_ is not None:
             self.do_move(source_, [("ref", record, [], None)])
         if self.loop is not None:
-            raise Ordered
-        row = self.spark.createDataFrame([tuple(self.known(self.get(("ref", x.name, [], None))).value for x in f.layout.fields)], f.layout.struct())
-        f.data = records.rewrite(f.data, row, f.key)
+            if self.loop.file is not f or clauses or f.key and self.get(("ref", f.key, [], None)).value is not self.loop.key:
+                raise Ordered
+            self.loop.rewritten.append((self.loop.guard, {x.name: self._image(x).cast(x.spark_type()) for x in f.layout.fields}))
+            return
+        if f.mode != "I-O":
+            self._failed(f, "37", clauses)
+            return
+        key = self._key(f) if f.key else f.last
+        if key is None or f.key and not self._there(f, key):
+            self._failed(f, "23" if f.key else "41", clauses)
+            return
+        f.changes[key] = tuple(self._held(x) for x in f.layout.fields)
+        self._status(f, "00")
+        self.block(clauses.get("not", []))
 
     def do_delete(self, name: str, clauses: dict) -> None:
         f = self.files[name]
-        if not f.key or self.loop is not None:
-            raise Ordered if self.loop is not None else UnsupportedVerbError("DELETE of a file without a key")
-        own = f.data.where(F.col(f.key) == F.lit(self.known(self.get(("ref", f.key, [], None))).value)).select(f.key)
-        missing = own.isEmpty()
-        if not missing:
-            f.data = records.delete(f.data, own, f.key)
-        self._status(f, "23" if missing else "00")
-        self.block(clauses.get("yes" if missing else "not", []))
+        if self.loop is not None:
+            if self.loop.file is not f or clauses or not f.key:
+                raise Ordered
+            self.loop.deleted.append(self.loop.guard)
+            return
+        if not f.key:
+            self._failed(f, "41", clauses)
+            return
+        key = self._key(f)
+        if f.mode != "I-O" or not self._there(f, key):
+            self._failed(f, "37" if f.mode != "I-O" else "23", clauses)
+            return
+        f.changes[key] = None
+        self._status(f, "00")
+        self.block(clauses.get("not", []))
 
     def do_start(self, name: str, op: str, key: tuple | None, clauses: dict) -> None:
         f = self.files[name]
@@ -820,12 +1112,14 @@ class Program:
         relation = {"=": "EQUAL", ">": "GREATER", ">=": "NOT LESS"}.get(op)
         if relation is None or self.loop is not None:
             raise Ordered if self.loop is not None else UnsupportedVerbError(f"START with {op}")
-        found = records.start(f.data, f.key, relation, value)
+        found = records.start(self._current(f), f.key, relation, value)
         missing = found.isEmpty()
-        if not missing:
-            f.data, f.rows, f.reads = found, None, 0
-        self._status(f, "23" if missing else "00")
-        self.block(clauses.get("yes" if missing else "not", []))
+        if missing:
+            self._failed(f, "23", clauses)
+            return
+        f.at, f.rows, f.reads = found, None, 0
+        self._status(f, "00")
+        self.block(clauses.get("not", []))
 
     def do_generate(self, form: str, into: tuple, group: str, clauses: dict) -> None:
         """JSON or XML GENERATE: the group's elementary fields, flat; text without its trailing blanks."""
@@ -861,7 +1155,7 @@ class Program:
                 part = self._source(self.files[u])
                 part = part.select(*(F.col(a.name).alias(b.name) for a, b in zip(self.files[u].layout.fields, f.layout.fields)), F.lit(k).alias("_file"), "rrn")
                 df = part if df is None else df.unionByName(part)
-        df = records.sort(df, *keys, "_file", "rrn").drop("_file", "rrn")
+        df = records.sort(df, *((self._of_file(f, k), how) for k, how in keys), "_file", "rrn").drop("_file", "rrn")
         for g in giving:
             out = self.files[g]
             out.mode, out.chunks = "OUTPUT", [df.select(*(F.col(a.name).alias(b.name) for a, b in zip(f.layout.fields, out.layout.fields)))]
@@ -974,7 +1268,7 @@ class Program:
         if len(reads) != 1 or after:
             return False
         k, f = reads[0]
-        if not (k == 0 and f.reads == 0 or k == len(statements) - 1 and f.reads == 1) or f.data is None:
+        if not (k == 0 and f.reads == 0 or k == len(statements) - 1 and f.reads == 1) or f.data is None or f.mode in ("OUTPUT", "EXTEND"):
             return False
         saved, files_before, shown_before = dict(self.env), {n: list(x.chunks) for n, x in self.files.items()}, len(self.display)
         self.loop = Loop(self, f, statements)
@@ -1013,6 +1307,8 @@ class Program:
             self.block(read[4].get("yes", []))
 
 
+#: Registers that are there without a declaration.
+REGISTERS = ("SQLCODE", "RETURN_CODE", "SORT_RETURN")
 NUMERIC = {"ABS", "INTEGER", "INTEGER-PART", "LENGTH", "LOG", "LOG10", "MAX", "MEAN", "MEDIAN", "MIN", "MOD", "NUMVAL", "NUMVAL-C", "ORD", "REM", "SQRT"}
 
 
@@ -1036,7 +1332,9 @@ class Loop:
         self.joins: list[tuple[DataFrame, Column]] = []
         self.extremes: dict[str, list] = {}
         self.checks: list[Column] = []
-        self.body = statements
+        self.body, self.key = statements, None
+        self.rewritten: list[tuple[Column | None, dict[str, Column]]] = []
+        self.deleted: list[Column | None] = []
 
     def prepare(self, statements: list) -> None:
         """Marks what the body writes: fields that it only adds to become sums, the others must be set before they are read."""
@@ -1052,6 +1350,8 @@ class Loop:
                 if tree[3] is not None:
                     other.update(r[1] for r, _ in tree[2])
                 walk(tree[4])
+            elif isinstance(tree, tuple) and len(tree) > 2 and isinstance(tree[0], str) and tree[0].endswith(" CORRESPONDING"):
+                other.update(f.name for both in p._alike(p.fields[tree[1][1]], p.fields[tree[2][1]]) for f in both)
             elif isinstance(tree, tuple) and tree and tree[0] == "PERFORM" and tree[1]:
                 for name in p.thru(*tree[1]):
                     walk(p.paragraphs[name])
@@ -1077,12 +1377,14 @@ class Loop:
                     self.written.update(r[1] for r, _ in (tree[3] if tree[3] is not None else tree[2]))
                 elif tree[0] in ("COMPUTE", "SCALE", "DIVIDE"):
                     self.written.update(r[0][1] for x in tree[1:] if isinstance(x, list) for r in x if isinstance(r, tuple) and isinstance(r[0], tuple))
+                elif tree[0].endswith(" CORRESPONDING") if isinstance(tree[0], str) else False:
+                    self.written.update(y.name for _, y in p._alike(p.fields[tree[1][1]], p.fields[tree[2][1]]))
                 elif tree[0] == "SET TRUE":
                     self.written.update(p.names88[r[1]].name for r in tree[1])
                 elif tree[0] == "PERFORM" and tree[1]:
                     for name in p.thru(*tree[1]):
                         targets(p.paragraphs[name])
-                elif tree[0] in ("STRING", "UNSTRING", "INSPECT", "INITIALIZE", "ACCEPT", "CALL", "SEARCH"):
+                elif tree[0] in ("STRING", "UNSTRING", "INSPECT", "INITIALIZE", "ACCEPT", "CALL", "SEARCH", "INVOKE"):
                     self.written.update(x.name for n in p._names(tree) if n in p.fields for x in p.leaves(p.fields[n]) if tree[0] not in ("CALL", "SEARCH"))
                 if tree[0] == "READ" and len(tree) == 5:
                     targets(tree[4].get("not", []))  # what AT END does isn't part of a pass
@@ -1144,6 +1446,7 @@ class Loop:
 
         for x in f.layout.fields:
             leaf(x, F.col(x.name))
+        self.key = p.env[f.key].value if f.key else None
         if into:
             p.assign(("ref", into, [], None), p.get(("ref", f.record, [], None)))
 
@@ -1152,7 +1455,7 @@ class Loop:
 
     def finish(self, after: dict, saved: dict, until: tuple) -> None:
         p = self.program
-        df = self.file.data
+        whole = df = p._view(self.file)
         for found, on in self.joins:
             df = df.join(found, on, "left")
         extremes = {n: rules for n, rules in self.extremes.items()}
@@ -1194,6 +1497,17 @@ class Loop:
                 p.display.append(out.select(F.col("r").alias("line")))
             else:
                 p.files[to[1]].chunks.append(out.select("r.*"))
+        if self.rewritten or self.deleted:  # REWRITE and DELETE of the record that was read: one pass over the file
+            if self.joins or self.file.at is not None or whole is not self.file.data:
+                raise Ordered
+            new = {}
+            for guard, row in self.rewritten:
+                for n, c in row.items():
+                    new[n] = c if guard is None else F.when(guard, c).otherwise(new.get(n, F.col(n)))
+            gone = F.lit(False)
+            for guard in self.deleted:
+                gone = gone | (F.lit(True) if guard is None else F.coalesce(guard, F.lit(False)))
+            self.file.data, self.file.dirty = df.select(*(new.get(c, F.col(c)).alias(c) for c in df.columns), gone.alias("_gone")).where("not _gone").drop("_gone"), True
         # What the last record left in other fields is found once it is asked for.
         late = {n: v for n, v in after.items() if n not in added and n not in extremes and isinstance(v, V) and not v.known}
         order = F.col("rrn") if "rrn" in df.columns else F.monotonically_increasing_id()
@@ -1205,7 +1519,7 @@ class Loop:
             p.env[n] = last
         for n, v in after.items():
             if isinstance(v, V) and v.known and n not in added and n not in extremes:
-                p.env[n] = v if df is self.file.data and n in self.written and not df.isEmpty() or n == "SQLCODE" else saved.get(n, v)
+                p.env[n] = v if df is whole and n in self.written and not df.isEmpty() or n == "SQLCODE" else saved.get(n, v)
 
     def _grows(self, c: tuple, m: str) -> bool:
         return c[0] in (">", ">=") if c[2][1] == m else c[0] in ("<", "<=")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from decimal import ROUND_DOWN, ROUND_HALF_UP, Decimal, InvalidOperation, localcontext
 
@@ -38,10 +39,15 @@ def number(v: V) -> V:
     """A number: text is trimmed and parsed, 0 where it isn't one."""
     if v.number:
         return v
+    shown = v.field is not None and v.field.pic is not None and v.field.pic.category == "edited"
     if not v.known:
-        return V(numeric.numeric_text(v.value), True)
+        return V(edited.plain(v.value, v.field.pic.text, v.field.style[1]) if shown else numeric.numeric_text(v.value), True)
+    t = v.value
+    if shown:  # what an edited number shows
+        t = t.translate(str.maketrans(".,", ",.")) if v.field.style[1] else t
+        t = ("-" if re.search("-|CR|DB", t) else "") + (re.sub("[^0-9.]", "", t) or "0")
     try:
-        out = Decimal(v.value.strip() or "0")
+        out = Decimal(t.strip() or "0")
     except InvalidOperation:
         out = Decimal(0)
     return V(out if out.is_finite() else Decimal(0), True)
@@ -121,7 +127,7 @@ def moved(v: V, field: Field) -> V:
         return V(numeric.moved(v.value, p), True, field)
     if p.category == "edited" and not set("AX") & set(p.text.upper()):
         v = number(v)
-        return V(edited.edited(column(v).cast(f"decimal(38,{max(p.decimals, 0) + 2})"), p.text), False, field)
+        return V(edited.edited(column(v).cast(f"decimal(38,{max(p.decimals, 0) + 2})"), p.text, *field.style), False, field)
     t = text(v)
     size = p.size // 2 if p.category == "national" else p.size
     return V(t.value[:size].ljust(size) if t.known else strings.padded(t.value, size), False, field)

@@ -86,6 +86,7 @@ class Field:
     conditions: tuple[tuple[str, tuple], ...] = ()  # level 88: name and values, a pair for THRU
     children: tuple[Field, ...] = ()
     offset: int = 0
+    style: tuple[str, bool] = ("$", False)  # of edited numbers: the currency sign, and whether the decimal point is a comma
 
     @property
     def item_size(self) -> int:
