@@ -1,8 +1,9 @@
-"""Intrinsic functions by name: call("UPPER-CASE", column)."""
+"""Intrinsic functions by name: call("UPPER-CASE", column). WHEN-COMPILED is the time at which the plan is built."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,8 +28,8 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "INTEGER": F.floor,
     "INTEGER-PART": lambda x: truncated(x, 0),
     "LENGTH": F.length,
-    "LOG": F.ln,
-    "LOG10": F.log10,
+    "LOG": lambda x: F.ln(x).cast("decimal(38,16)"),
+    "LOG10": lambda x: F.log10(x).cast("decimal(38,16)"),
     "LOWER-CASE": F.lower,
     "MAX": lambda *x: F.greatest(*x) if len(x) > 1 else x[0],
     "MEAN": lambda *x: F.round(reduce(lambda a, b: a + b, x) / len(x), 18),
@@ -40,11 +41,12 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "ORD": lambda x: F.when(F.length(x) == 0, 0).otherwise(F.ascii(x) + 1),
     "REM": lambda a, b: a % b,
     "REVERSE": F.reverse,
-    "SQRT": F.sqrt,
+    "SQRT": lambda x: F.sqrt(x).cast("decimal(38,16)"),
     "TRIM": F.trim,
     "TRIM-LEADING": F.ltrim,
     "TRIM-TRAILING": F.rtrim,
     "UPPER-CASE": F.upper,
+    "WHEN-COMPILED": lambda: F.lit(datetime.now(UTC).strftime("%Y%m%d%H%M%S00+0000")),
 }
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..picture import Picture, picture
@@ -31,9 +32,13 @@ def size_error(x: Column, pic: Picture | str, rounded: bool = False) -> Column:
     return F.coalesce(F.abs(fitted(x, p, rounded)) >= limit, F.lit(True))
 
 
-def stored(x: Column, pic: Picture | str, old: Column | None = None, rounded: bool = False) -> Column:
-    """What a field of the picture holds after an arithmetic statement: on a size error its old value (null if none is given)."""
+def stored(x: Column, pic: Picture | str, old: Column | None = None, rounded: bool = False, on_error: Callable[[Column], Column] | None = None) -> Column:
+    """What a field of the picture holds after an arithmetic statement: on a size error its old value (null if none is given).
+
+    on_error: what it holds then instead, a function of the result that doesn't fit.
+    """
     p = _pic(pic)
+    old = on_error(x) if on_error else old
     y = fitted(x, p, rounded)
     y = y if p.signed else F.abs(y)
     return F.when(size_error(x, p, rounded), old if old is not None else F.lit(None)).otherwise(y).cast(f"decimal({max(p.digits, 1)},{p.decimals})")
@@ -64,6 +69,14 @@ def divided(a: Column, b: Column, pic: Picture | str, rounded: bool = False) ->
     return stored(q, p, rounded=rounded), a - truncated(q, p.decimals) * b
 
 
+def tracked(df: DataFrame, log: str = "changes", **sets: Column) -> DataFrame:
+    """df with columns set, and a log of what that changed in each row: an array of (field, old, new) as text, added to what is there."""
+    text = lambda c: c.cast("string")
+    entries = [F.struct(F.lit(n).alias("field"), (text(F.col(n)) if n in df.columns else F.lit(None).cast("string")).alias("old"), text(c).alias("new")) for n, c in sets.items()]
+    made = F.filter(F.array(*entries), lambda e: ~e["old"].eqNullSafe(e["new"]))
+    return df.withColumns({log: F.concat(F.col(log), made) if log in df.columns else made, **sets})
+
+
 def power(x: Column, n: int) -> Column:
     """x to a whole exponent that is known when the plan is built."""
     return F.lit(1) if n == 0 else reduce(lambda a, b: a * b, [x] * n) if n > 0 else F.try_divide(F.lit(1), power(x, -n))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +54,21 @@ def unstring(x: Column, n: int, *delimiters: str, all_: bool = False) -> tuple[C
     return F.slice(F.concat(pieces, F.array_repeat(F.lit(None).cast("string"), n)), 1, n), F.slice(F.regexp_extract_all(x, F.lit(rule), F.lit(0)), 1, n), F.size(pieces) > n
 
 
+def unstring_from(x: Column, n: int, *delimiters: str, all_: bool = False, pointer: int | Column = 1) -> tuple[Column, Column, Column, Column]:
+    """UNSTRING WITH POINTER: the fields, the delimiters, the pointer after what was taken, and whether it overflowed.
+
+    A pointer outside of x overflows and changes nothing. Text that is left over is what stands from the new pointer on.
+    """
+    start = F.lit(pointer) if isinstance(pointer, int) else pointer
+    valid = (start >= 1) & (start <= F.length(x))
+    rest = F.substring(x, start, F.length(x))
+    got, found, over = unstring(rest, n, *delimiters, all_=all_)
+    size = lambda a: F.aggregate(a, F.lit(0), lambda t, v: t + F.coalesce(F.length(v), F.lit(0)))
+    after = F.when(over, start + size(got) + size(found)).otherwise(F.length(x) + 1)
+    none = F.array_repeat(F.lit(None).cast("string"), n)
+    return F.when(valid, got).otherwise(none), F.when(valid, found).otherwise(F.slice(none, 1, 0)), F.when(valid, after).otherwise(start), ~valid | over
+
+
 def scope(x: Column, before: str | None = None, after: str | None = None) -> tuple[Column, Column, Column]:
     """x in three: what an INSPECT leaves alone, its scope, and the rest. AFTER what isn't found: no scope; BEFORE: to the end."""
     start = F.lit(0)
@@ -90,6 +106,17 @@ def replaced(x: Column, kind: str, old: str, new: str, before: str | None = None
     return F.concat(a, s, z)
 
 
+def inspected(x: Column, converting: tuple[str, str] | None = None, replacing: tuple[tuple[str, str, str], ...] = (), change: Callable[[Column], Column] | None = None, before: str | None = None, after: str | None = None) -> Column:
+    """Several rules in one INSPECT: CONVERTING first, then REPLACING rules (kind, old, new) in order, then a function of each character."""
+    out = converted(x, *converting, before, after) if converting else x
+    for kind, old, new in replacing:
+        out = replaced(out, kind, old, new, before, after)
+    if change is None:
+        return out
+    a, s, z = scope(out, before, after)
+    return F.concat(a, F.array_join(F.transform(F.split(s, ""), change), ""), z)
+
+
 def converted(x: Column, old: str, new: str, before: str | None = None, after: str | None = None) -> Column:
     """INSPECT CONVERTING: each character of old by the one at its place in new; the first of repeated ones counts."""
     pairs = {}
