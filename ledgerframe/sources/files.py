@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.records import sort
 from ..picture import Layout
 from .codec import records, to_records
-from .fixedrec import listed, register
+from .fixedrec import listed, register, resolved
 
 
 #: File status codes.
@@ -20,10 +21,10 @@ STATUS = {
 }
 
 
-def status(path: str) -> str:
+def status(path: str, spark: SparkSession | None = None) -> str:
     """What OPEN INPUT of a path reports: 00, 35 if there is none, 30 on other errors."""
     try:
-        listed(path)
+        listed(resolved(spark, path) if spark else path)
     except FileNotFoundError:
         return "35"
     except OSError:
@@ -33,13 +34,13 @@ def status(path: str) -> str:
 
 def _scan(spark: SparkSession, path: str, layout: Layout, encoding: str | None, **options: object) -> DataFrame:
     blank = 64 if encoding else 32
-    return register(spark).read.format("fixedrec").options(recordLength=layout.size, blank=blank, **options).load(path)
+    return register(spark).read.format("fixedrec").options(recordLength=layout.size, blank=blank, **options).load(resolved(spark, path))
 
 
 def _sink(df: DataFrame, path: str, layout: Layout, encoding: str | None, mode: str, **options: object) -> None:
     register(df.sparkSession)
     data = to_records(df, layout, encoding=encoding).select(F.lit(None).cast("long").alias("rrn"), "value")
-    data.write.format("fixedrec").options(recordLength=layout.size, blank=64 if encoding else 32, **options).mode(mode).save(path)
+    data.write.format("fixedrec").options(recordLength=layout.size, blank=64 if encoding else 32, **options).mode(mode).save(resolved(df.sparkSession, path))
 
 
 def read_fixed(spark: SparkSession, path: str, layout: Layout, encoding: str | None = None, partial: str = "pad") -> DataFrame:
@@ -67,6 +68,49 @@ def read_relative(spark: SparkSession, path: str, layout: Layout, encoding: str
     return records(data, layout, encoding=encoding, keep=("rrn",))
 
 
+@dataclass
+class RecordFile:
+    """A file of fixed records with its hooks: functions that are called, with the file, when it is opened and closed, and its status."""
+
+    spark: SparkSession
+    path: str
+    layout: Layout
+    encoding: str | None = None
+    on_open: Callable[[RecordFile], None] | None = None
+    on_close: Callable[[RecordFile], None] | None = None
+    status: str = ""
+    mode: str = ""
+
+    def open(self, mode: str = "INPUT") -> str:
+        self.status = "41" if self.mode else status(self.path, self.spark) if mode in ("INPUT", "I-O") else "00"
+        if self.status == "00":
+            self.mode = mode
+            if self.on_open:
+                self.on_open(self)
+        return self.status
+
+    def read(self) -> DataFrame:
+        """All records, by rrn."""
+        if self.mode not in ("INPUT", "I-O"):
+            self.status = "37"
+            raise OSError(f"{self.path} isn't open for reading: status 37")
+        return read_relative(self.spark, self.path, self.layout, self.encoding)
+
+    def write(self, df: DataFrame) -> str:
+        """WRITE of each row; in mode I-O the rows, as read() gave them, replace those of the file (REWRITE)."""
+        self.status = "00" if self.mode in ("OUTPUT", "EXTEND", "I-O") else "37"
+        if self.status == "00":
+            rows = df.orderBy("rrn").drop("rrn") if "rrn" in df.columns else df
+            write_fixed(rows, self.path, self.layout, self.encoding, "append" if self.mode == "EXTEND" else "overwrite")
+        return self.status
+
+    def close(self) -> str:
+        self.status, self.mode = ("00", "") if self.mode else ("41", "")
+        if self.status == "00" and self.on_close:
+            self.on_close(self)
+        return self.status
+
+
 def rewrite_file(spark: SparkSession, path: str, giving: str, layout: Layout, change: Callable[[DataFrame], DataFrame], encoding: str | None = None) -> None:
     """OPEN I-O, READ and REWRITE of each record: files don't change in place, so that the result is written beside."""
     write_fixed(change(read_fixed(spark, path, layout, encoding)), giving, layout, encoding)

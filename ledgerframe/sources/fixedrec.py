@@ -12,17 +12,26 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "rrn bigint, value binary"
 #: Records of one Arrow batch, at most this many bytes of them.
 CHUNK = 4 << 20
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """The path with its file system, the cluster's default one if it names none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a resolved path, and the path in it."""
     path = re.sub(r"^file:/+", "/", path)
     return (pafs.LocalFileSystem(), path) if path.startswith("/") or "://" not in path else pafs.FileSystem.from_uri(path)
 
@@ -110,7 +119,7 @@ class FixedReader(DataSourceReader):
             yield values, None
 
 
-class FixedWriter(DataSourceWriter):
+class FixedWriter(DataSourceArrowWriter):
     """Tasks write hidden files; the commit on the driver gives them their names, in the order of partitions."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -119,21 +128,26 @@ class FixedWriter(DataSourceWriter):
         if not self.varying and self.length < 1:
             raise ValueError("recordLength is missing")
 
-    def write(self, iterator: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         fs, at = opened(self.path)
         fs.create_dir(at, recursive=True)
         name = f".part-{uuid.uuid4().hex}"
         with fs.open_output_stream(posixpath.join(at, name)) as f:
-            for row in iterator:
-                data = bytes(row["value"] or b"")
+            for batch in iterator:
+                values = batch.column("value").cast(pa.binary())
+                size = pc.binary_length(values).fill_null(0)
                 if self.varying:
-                    if len(data) > 32756:
-                        raise ValueError(f"a varying record of {len(data)} bytes")
-                    f.write((len(data) + 4).to_bytes(2, "big") + b"\0\0" + data)
+                    if batch.num_rows and (most := pc.max(size).as_py()) > 32756:
+                        raise ValueError(f"a varying record of {most} bytes")
+                    f.write(b"".join(x for v in values.fill_null(b"").to_pylist() for x in ((len(v) + 4).to_bytes(2, "big") + b"\0\0", v)))
+                elif batch.num_rows and pc.all(pc.equal(size, self.length)).as_py() and not values.null_count:
+                    offsets = values.buffers()[1]
+                    first = np.frombuffer(offsets, np.int32, batch.num_rows + 1, 4 * values.offset)
+                    f.write(values.buffers()[2].slice(int(first[0]), int(first[-1] - first[0])))  # the records as they stand in memory
                 else:
-                    f.write(data[: self.length].ljust(self.length, self.blank))
+                    f.write(b"".join(v[: self.length].ljust(self.length, self.blank) for v in values.fill_null(b"").to_pylist()))
         return Written(name, TaskContext.get().partitionId())
 
     def commit(self, messages: list[Written | None]) -> None:

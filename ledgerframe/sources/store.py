@@ -28,12 +28,43 @@ def blank(kind: T.DataType) -> Column:
     return F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("") if isinstance(kind, T.StringType) else F.lit(None).cast(kind)
 
 
+#: Types of whole numbers, decimals and texts by database; {p}, {s} and {n} are digits, decimals and size.
+DIALECTS = {
+    "h2": ("SMALLINT", "INTEGER", "BIGINT", "DECIMAL({p},{s})", "VARCHAR({n})"),
+    "sqlite": ("INTEGER", "INTEGER", "INTEGER", "NUMERIC", "TEXT"),
+    "postgresql": ("SMALLINT", "INTEGER", "BIGINT", "NUMERIC({p},{s})", "VARCHAR({n})"),
+    "mysql": ("SMALLINT", "INT", "BIGINT", "DECIMAL({p},{s})", "VARCHAR({n})"),
+    "oracle": ("NUMBER(5)", "NUMBER(10)", "NUMBER(19)", "NUMBER({p},{s})", "VARCHAR2({n})"),
+    "derby": ("SMALLINT", "INTEGER", "BIGINT", "DECIMAL({p},{s})", "VARCHAR({n})"),
+}
+
+
+def dialect(url: str) -> str:
+    """The dialect of a JDBC URL."""
+    name = url.removeprefix("jdbc:").split(":")[0]
+    return name if name in DIALECTS else "h2"
+
+
+def ddl(layout: Layout, key: str, database: str = "h2") -> str:
+    """CREATE TABLE of a layout's elementary fields."""
+    small, middle, big, decimal, text = DIALECTS[database]
+    columns = []
+    for f in layout.walk():
+        if f.pic is None or f.name == "FILLER" or f.redefines:
+            continue
+        whole = f.pic.numeric and not f.pic.decimals
+        kind = (small if f.pic.digits <= 4 else middle if f.pic.digits <= 9 else big if f.pic.digits <= 18 else decimal) if whole else decimal if f.pic.numeric else text
+        columns.append(f"{f.name} {kind.format(p=max(f.pic.digits, 1), s=f.pic.decimals, n=f.item_size)}" + (" NOT NULL" if f.name == key else ""))
+    return f"CREATE TABLE {layout.name} ({', '.join(columns)}, PRIMARY KEY ({key}))"
+
+
 @dataclass
 class RecordStore:
     spark: SparkSession
     path: str
     layout: Layout
     key: str
+    indexes: tuple[str, ...] = ()  # taken, and of no effect: files of columns with statistics have none
 
     def _folders(self) -> list[tuple[int, str]]:
         """Complete snapshots, by number: one driver-side listing of folder names."""

@@ -9,13 +9,23 @@ from dataclasses import dataclass, field
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 
+from .sources import folders
+
 
 @dataclass
 class Result:
+    """SQLCODE, SQLSTATE, rows that were changed (SQLERRD 3), the row that was found, and the text of an error (SQLERRMC)."""
+
     code: int = 0
     state: str = "00000"
     rows: int = 0
     value: Row | None = None
+    text: str = ""
+
+    @property
+    def warning(self) -> str:
+        """SQLWARN0: W where no row was found or changed."""
+        return "W" if self.code == 100 else " "
 
 
 def _named(text: str) -> str:
@@ -29,14 +39,35 @@ def _arguments(text: str, host: dict) -> dict:
     return {n: v.rstrip() if isinstance(v := values[n.upper()], str) else v for n in asked}
 
 
+def _failed(e: PySparkException) -> Result:
+    return Result(-1, e.getSqlState() or "42000", text=str(e).splitlines()[0][:70])
+
+
 @dataclass
 class Session:
+    """Statements over views. With a folder, commit() writes the changed tables there, all or none, and a later session finds them again."""
+
     spark: SparkSession
     strict: bool = False
+    folder: str | None = None
     staged: dict[str, DataFrame] = field(default_factory=dict)
     cursors: dict[str, str] = field(default_factory=dict)
     opened: dict[str, Iterator[Row]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        for number, names in self._commits():
+            for name in names:
+                self.spark.read.parquet(f"{self.folder}/commit-{number:09}/{name}").createOrReplaceTempView(name)
+
+    def _commits(self) -> list[tuple[int, list[str]]]:
+        """Complete commits in order, and the tables in each: those whose mark was set last of all."""
+        out = []
+        for name in folders.children(self.spark, self.folder) if self.folder else []:
+            inside = folders.children(self.spark, f"{self.folder}/{name}") if name.startswith("commit-") else []
+            if "_COMMITTED" in inside:
+                out.append((int(name.removeprefix("commit-")), [x for x in inside if x != "_COMMITTED"]))
+        return out
+
     def query(self, text: str, **host: object) -> DataFrame:
         return self.spark.sql(_named(text), args=_arguments(text, host))
 
@@ -46,7 +77,7 @@ class Session:
         try:
             rows = self.query(text, **host).limit(2).collect()
         except PySparkException as e:
-            return Result(-1, (e.getSqlState() or "42000"))
+            return _failed(e)
         if not rows:
             return Result(100, "02000")
         return Result(-811, "21000", 2) if len(rows) > 1 and self.strict else Result(0, "00000", 1, rows[0])
@@ -55,16 +86,24 @@ class Session:
         self.cursors[cursor] = text
 
     def open(self, cursor: str, **host: object) -> Result:
-        self.opened[cursor] = self.query(self.cursors[cursor], **host).toLocalIterator(prefetchPartitions=True)
+        try:
+            self.opened[cursor] = self.rows(cursor, **host).toLocalIterator(prefetchPartitions=True)
+        except PySparkException as e:
+            return _failed(e)
         return Result()
 
+    def rows(self, cursor: str, **host: object) -> DataFrame:
+        """All rows of a declared cursor as one frame, for what doesn't need them one by one."""
+        return self.query(self.cursors[cursor], **host)
+
     def fetch(self, cursor: str) -> Result:
+        if cursor not in self.opened:
+            return Result(-501, "24501", text=f"{cursor} isn't open")
         row = next(self.opened[cursor], None)
         return Result(100, "02000") if row is None else Result(0, "00000", 1, row)
 
     def close(self, cursor: str) -> Result:
-        self.opened.pop(cursor, None)
-        return Result()
+        return Result() if self.opened.pop(cursor, None) is not None else Result(-501, "24501", text=f"{cursor} isn't open")
 
     # Changes are staged as new DataFrames under the view's name; commit() makes them the view, rollback() drops them.
     def _table(self, name: str) -> DataFrame:
@@ -89,6 +128,15 @@ class Session:
         return Result(100 if self.strict and not n else 0, "02000" if self.strict and not n else "00000", n)
 
     def commit(self) -> Result:
+        """Makes the changes visible; with a folder they are written first, and count once the mark behind the last table is set."""
+        if self.folder and self.staged:
+            # Behind what any earlier session began, complete or not.
+            begun = [int(x.removeprefix("commit-")) for x in folders.children(self.spark, self.folder) if x.startswith("commit-")]
+            at = f"{self.folder}/commit-{max(begun, default=0) + 1:09}"
+            for name, df in self.staged.items():
+                df.write.parquet(f"{at}/{name}")
+            folders.touch(self.spark, f"{at}/_COMMITTED")
+            self.staged = {name: self.spark.read.parquet(f"{at}/{name}") for name in self.staged}
         for name, df in self.staged.items():
             df.createOrReplaceTempView(name)
         self.staged.clear()
