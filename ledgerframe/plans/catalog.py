@@ -134,10 +134,10 @@ def sort_multi_key(spark: SparkSession, d: str) -> DataFrame:
     return records.sort(x.withColumn("place", place), "o_custkey", ("price", "desc"), "o_orderkey")
 
 
-@query("select o_orderkey k, 'order' kind from orders union all select l_orderkey, 'line' from lineitem where l_linenumber = 1")
+@query("select o_orderkey k, 'order' kind from orders union all select l_orderkey, 'line' from lineitem")
 def merge_sorted_files(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit("order").alias("kind"))
-    b = read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), F.lit("line").alias("kind"))
+    b = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit("line").alias("kind"))
     return records.merge(a, b, keys=["k"])
 
 
@@ -319,14 +319,17 @@ def xml_generate_parse(spark: SparkSession, d: str) -> DataFrame:
 @query("select c_custkey, c_name from customer where c_custkey = 5")
 def sql_select_into(spark: SparkSession, d: str) -> DataFrame:
     read(spark, d, "customer").createOrReplaceTempView("sql_customer")
-    return Session(spark).query("select c_custkey, c_name from sql_customer where c_custkey = :WS-KEY", ws_key=5)
+    got = Session(spark).select_into("select c_custkey, c_name into :WS-KEY, :WS-NAME from sql_customer where c_custkey = :WS-WANTED", ws_wanted=5)
+    return spark.createDataFrame([got.value] if got.code == 0 else [], "c_custkey long, c_name string")
 
 
 @query("select c_nationkey, cast(sum(cast(c_acctbal as decimal(15,2))) as decimal(25,2)) total from customer where c_mktsegment = 'BUILDING' group by 1")
 def sql_cursor_accumulate(spark: SparkSession, d: str) -> DataFrame:
+    """A cursor whose rows are added up: its rows as one frame."""
     read(spark, d, "customer").createOrReplaceTempView("sql_customer")
-    rows = Session(spark).query("select c_nationkey, cast(c_acctbal as decimal(15,2)) b from sql_customer where c_mktsegment = :SEGMENT", segment="BUILDING  ")
-    return rows.groupBy("c_nationkey").agg(F.sum("b").cast("decimal(25,2)").alias("total"))
+    s = Session(spark)
+    s.declare("BUILDERS", "select c_nationkey, cast(c_acctbal as decimal(15,2)) b from sql_customer where c_mktsegment = :SEGMENT")
+    return s.rows("BUILDERS", segment="BUILDING  ").groupBy("c_nationkey").agg(F.sum("b").cast("decimal(25,2)").alias("total"))
 
 
 @query("select s_suppkey, cast(case when s_nationkey < 5 then cast(s_acctbal as decimal(15,2)) + 100 else cast(s_acctbal as decimal(15,2)) end as decimal(15,2)) balance from supplier where s_nationkey <> 9")
@@ -346,6 +349,4 @@ def dedupe_first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select l_orderkey, l_linenumber, {_Q} > 40 or {_D} > 0.08 rejected from lineitem")
 def validate_reject_split(spark: SparkSession, d: str) -> DataFrame:
-    good, bad = records.split(_lines(spark, d), (F.col("qty") <= 40) & (F.col("disc") <= 0.08))
-    mark = lambda df, r: df.select("l_orderkey", "l_linenumber", F.lit(r).alias("rejected"))
-    return mark(good, False).unionByName(mark(bad, True))
+    return records.checked(_lines(spark, d), (F.col("qty") <= 40) & (F.col("disc") <= 0.08)).select("l_orderkey", "l_linenumber", "rejected")

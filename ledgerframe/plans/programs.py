@@ -106,7 +106,7 @@ def message_port_drain(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_id, case when event_type = 'click' then upper(event_type) else event_type end commarea, case when event_type in ('click', 'view') then 'NORMAL' else 'TRANSIDERR' end condition from events")
 def region_dispatch(spark: SparkSession, d: str) -> DataFrame:
     region = Region()
-    region.register("click", lambda df: df.withColumn("commarea", F.upper("commarea")))
-    region.register("view", lambda df: df)
+    region.rule("click", F.upper)
+    region.rule("view", lambda commarea: commarea)
     requests = read(spark, d, "events").select("event_id", F.col("event_type").alias("trans_id"), F.col("event_type").alias("commarea"))
     return region.dispatch(requests).select("event_id", "commarea", "condition")

@@ -77,7 +77,7 @@ def test_ports_and_regions(spark, tmp_path):
     region, got = Region(), []
     region.register("A", lambda df: df.withColumn("commarea", F.upper("commarea")))
     region.register("B", lambda df: df)
-    listen(stream, lambda b: got.extend(map(tuple, region.dispatch(b).collect())), str(tmp_path / "c"), "exactly once", set()).awaitTermination()
+    listen(stream, lambda b: got.extend(map(tuple, region.dispatch(b).collect())), str(tmp_path / "c"), "exactly once").awaitTermination()
     assert sorted(got) == [("A", "X", "NORMAL"), ("B", "y", "NORMAL"), ("Z", "q", "TRANSIDERR")]
 
 
