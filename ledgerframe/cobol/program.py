@@ -134,8 +134,7 @@ class Program:
         self.paragraphs = self._settled(self.paragraphs)
         for at in sorted(self._names(list(self.paragraphs.values()))):
             if at not in self.fields and at not in self.names88 and at not in REGISTERS and at not in self.files:
-                several = len(self._found(at)) > 1
-                self.diagnostics.append(Diagnostic("ERROR", f"{at.replace('@', ' OF ')} " + ("is declared more than once" if several else "isn't declared")))
+                self.diagnostics.append(Diagnostic("ERROR", at.rstrip("@").replace("@", " OF ") + (" is declared more than once" if at.endswith("@") else " isn't declared")))
         self._noted(list(self.paragraphs.values()))
         self.display: list[str | DataFrame] = []
 
@@ -192,7 +191,7 @@ class Program:
         if isinstance(tree, tuple) and len(tree) == 4 and tree[0] == "ref":
             found = self._found(tree[1])
             base = tree[1].split("@")[0]
-            name = found[0] if len(found) == 1 else base if not found and base in self.names88 else tree[1]
+            name = found[0] if len(found) == 1 else base if not found and base in self.names88 else tree[1] + "@" * (len(found) > 1)
             return ("ref", name, self._settled(tree[2]), self._settled(tree[3]))
         if isinstance(tree, (list, tuple)):
             return type(tree)(self._settled(x) for x in tree)
