@@ -2,7 +2,8 @@
 
 A loop over READ (or FETCH, or RETURN) becomes one plan when its body fits: fields set before they are read in each pass are expressions,
 ADD and SUBTRACT into a field that the body doesn't read are sums, IF x > m MOVE x TO m is a maximum, WRITE and DISPLAY are projections,
-a keyed READ is a left join. A sum is of the values cut to the field's decimals; where it doesn't fit into its field, or where a body
+a keyed READ is a left join. A field that is read before it is set, and set anew for each record, holds what the record before has left
+(a previous key): records meet their predecessors by an equality join on their numbers. A sum is of the values cut to the field's decimals; where it doesn't fit into its field, or where a body
 depends on the order of records in another way, the loop runs record by record on the driver, and a diagnostic says so.
 """
 
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field, replace
 from decimal import Decimal
 from itertools import count
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 from ..functions import conditions, intrinsics, moves, numeric, strings
 from ..operators import records
 from ..picture import Field, Layout, picture
-from ..sources import files
+from ..sources import files, folders
 from ..sql import Session
 from . import source, values
 from .syntax import Parser, UnsupportedVerbError, paragraphs
@@ -40,6 +42,14 @@ class Ordered(Exception):
     """The loop depends on the order of its records beyond what a plan can say."""
 
 
+class Unset(Ordered):
+    """A pass reads a field before it sets it: what the record before has left there."""
+
+    def __init__(self, name: str):
+        super().__init__(f"{name} is read before it is set")
+        self.name = name
+
+
 class Stop(Exception):
     pass
 
@@ -82,6 +92,7 @@ class File:
     changes: dict = field(default_factory=dict)  # by key or rrn: the record that a statement on the driver left, null if deleted
     dirty: bool = False
     last: object = None  # rrn of the record that was read last
+    numbered: bool = False  # whether rrn is the record's place in the file, without gaps
 
     def show(self) -> str:
         return self.name.replace("_", "-")
@@ -239,7 +250,7 @@ class Program:
         for n in REGISTERS:
             self.env[n] = V(Decimal(0), True)
         for f in self.files.values():
-            f.mode, f.data, f.rows, f.reads, f.chunks, f.at, f.changes, f.dirty = "", None, None, 0, [], None, {}, False
+            f.mode, f.data, f.rows, f.reads, f.chunks, f.at, f.changes, f.dirty, f.numbered = "", None, None, 0, [], None, {}, False, False
         for f in self.fields.values():
             if f.pic and not self._redefined(f.name):
                 start = values.filled("ZEROS" if f.pic.numeric else "SPACES", f)
@@ -334,7 +345,7 @@ class Program:
         if callable(v):  # what a loop left, known once it is asked for
             v = self.env[name] = v()
         if v is None:
-            raise Ordered
+            raise Unset(name)
         if isinstance(v, Sum):
             raise Ordered
         return v
@@ -886,9 +897,25 @@ class Program:
         path = self.paths.get(f.assign, f.assign)
         if f.organization == "LINE SEQUENTIAL":
             return files.read_lines(self.spark, path, f.layout).withColumn("rrn", F.monotonically_increasing_id())
+        f.numbered = not f.key
         df = files.read_relative(self.spark, path, f.layout)
         return df.orderBy(f.key) if f.organization == "INDEXED" else df
 
+    def in_sequence(self, df: DataFrame) -> DataFrame:
+        """df with rrn, the place of each row in the order of partitions and rows; it is written once, so that the numbers stay."""
+        context = self.spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            context.setCheckpointDir(folders.shared(self.spark))
+        part, at = F.spark_partition_id().cast("long"), F.monotonically_increasing_id()
+        rows = df.drop("rrn").withColumn("_part", part).withColumn("_at", at - F.shiftleft(part, 33)).checkpoint()
+        counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # as many as partitions
+        starts, total = [], 0
+        for k in sorted(counts):
+            starts.append((k, total))
+            total += counts[k]
+        begun = self.spark.createDataFrame(starts, "_part long, _first long")
+        return rows.join(F.broadcast(begun), "_part").withColumn("rrn", F.col("_first") + F.col("_at") + 1).drop("_part", "_at", "_first")
+
     def do_close(self, names: list) -> None:
         for n in names:
             f = self.files[n]
@@ -1270,21 +1297,29 @@ class Program:
         if not (k == 0 and f.reads == 0 or k == len(statements) - 1 and f.reads == 1) or f.data is None or f.mode in ("OUTPUT", "EXTEND"):
             return False
         saved, files_before, shown_before = dict(self.env), {n: list(x.chunks) for n, x in self.files.items()}, len(self.display)
-        self.loop = Loop(self, f, statements)
-        try:
-            statements = [statements[k], *statements[:k], *statements[k + 1 :]]
-            self.loop.prepare(statements)
-            self.block(statements)
-            loop, self.loop = self.loop, None
-            after_env, self.env = self.env, dict(saved)
-            loop.finish(after_env, saved, until)
-        except (Ordered, UnsupportedVerbError, TypeError) as e:
-            self.env, self.loop = saved, None
-            for n, chunks in files_before.items():
-                self.files[n].chunks = chunks
-            del self.display[shown_before:]
-            self.diagnostics.append(Diagnostic("WARNING", f"a loop over {f.name} depends on the order of its records and runs on the driver" + (f": {e}" if str(e) else "")))
-            return False
+        statements = [statements[k], *statements[:k], *statements[k + 1 :]]
+        carried: set[str] = set()
+        while True:
+            self.loop = Loop(self, f, statements, carried)
+            try:
+                self.loop.prepare(statements)
+                self.block(statements)
+                loop, self.loop = self.loop, None
+                after_env, self.env = self.env, dict(saved)
+                loop.finish(after_env, saved, until)
+                break
+            except (Ordered, UnsupportedVerbError, TypeError, AnalysisException) as e:
+                written = self.loop.written if self.loop else set()
+                self.env, self.loop = dict(saved), None
+                for n, chunks in files_before.items():
+                    self.files[n].chunks = list(chunks)
+                del self.display[shown_before:]
+                if isinstance(e, Unset) and e.name in written and e.name not in carried and isinstance(saved.get(e.name), V):
+                    carried.add(e.name)  # once more, with what the record before has left
+                    continue
+                why = str(e).splitlines()[0] if str(e) else ""
+                self.diagnostics.append(Diagnostic("WARNING", f"a loop over {f.name} depends on the order of its records and runs on the driver" + (f": {why}" if why else "")))
+                return False
         self.diagnostics.append(Diagnostic("INFO", f"a loop over {f.name} is one plan"))
         self._end(statements[0], f)
         return True
@@ -1325,8 +1360,8 @@ class Sum:
 
 
 class Loop:
-    def __init__(self, program: Program, file: File, statements: list):
-        self.program, self.file, self.guard, self.seen = program, file, None, False
+    def __init__(self, program: Program, file: File, statements: list, carried: set[str] = frozenset()):
+        self.program, self.file, self.guard, self.seen, self.carried, self.written = program, file, None, False, carried, set()
         self.outputs: dict[tuple, list[tuple[Column | None, Column]]] = {}
         self.joins: list[tuple[DataFrame, Column]] = []
         self.extremes: dict[str, list] = {}
@@ -1395,11 +1430,13 @@ class Loop:
                 targets(list(tree.values()))
 
         targets(statements)
-        self.sums = {n for n in added - other if n in p.fields and p.fields[n].pic and p.fields[n].pic.numeric and p.occurs(n) == 1}
+        self.sums = {n for n in added - other - self.carried if n in p.fields and p.fields[n].pic and p.fields[n].pic.numeric and p.occurs(n) == 1}
         constant = self._same(statements)
         for n in self.written:
             if n in self.sums:
                 p.env[n] = Sum(F.lit(0).cast("decimal(38,%d)" % p.fields[n].pic.decimals))
+            elif n in self.carried:
+                p.env[n] = V(F.col(f"_before_{n}"), p.fields[n].pic.numeric, p.fields[n])
             elif n not in constant and not n.startswith("FILLER_") and n in p.env and not isinstance(p.env[n], list):
                 p.env[n] = None
         self.entry = dict(p.env)
@@ -1457,6 +1494,8 @@ class Loop:
         whole = df = p._view(self.file)
         for found, on in self.joins:
             df = df.join(found, on, "left")
+        if self.carried:
+            df = self._with_before(df, after, saved)
         extremes = {n: rules for n, rules in self.extremes.items()}
         added = {n: after[n].delta for n in self.sums if isinstance(after.get(n), Sum)}
         totals = [F.sum(c).alias(f"s_{n}") for n, c in added.items()]
@@ -1506,7 +1545,7 @@ class Loop:
             gone = F.lit(False)
             for guard in self.deleted:
                 gone = gone | (F.lit(True) if guard is None else F.coalesce(guard, F.lit(False)))
-            self.file.data, self.file.dirty = df.select(*(new.get(c, F.col(c)).alias(c) for c in df.columns), gone.alias("_gone")).where("not _gone").drop("_gone"), True
+            self.file.data, self.file.dirty = df.select(*(new.get(c, F.col(c)).alias(c) for c in whole.columns), gone.alias("_gone")).where("not _gone").drop("_gone"), True
         # What the last record left in other fields is found once it is asked for.
         late = {n: v for n, v in after.items() if n not in added and n not in extremes and isinstance(v, V) and not v.known}
         order = F.col("rrn") if "rrn" in df.columns else F.monotonically_increasing_id()
@@ -1520,6 +1559,20 @@ class Loop:
             if isinstance(v, V) and v.known and n not in added and n not in extremes:
                 p.env[n] = v if df is whole and n in self.written and not df.isEmpty() or n == "SQLCODE" else saved.get(n, v)
 
+    def _with_before(self, df: DataFrame, after: dict, saved: dict) -> DataFrame:
+        """Records with what each carried field held when they were read: an equality join of a record's number with the one before."""
+        p, left = self.program, {}
+        for n in self.carried:
+            v = after.get(n)
+            if not isinstance(v, V) or not v.known and "_before_" in str(v.value):
+                raise Ordered(f"{n} depends on more than the record before")
+            left[n] = column(v).cast(p.fields[n].pic.spark_type())
+        rows = df if self.file.numbered and "rrn" in df.columns else p.in_sequence(df)
+        before = rows.select((F.col("rrn") + 1).alias("_at"), *(c.alias(f"_left_{n}") for n, c in left.items()))
+        rows = rows.join(before, rows["rrn"] == before["_at"], "left")
+        first = F.col("_at").isNull()
+        return rows.withColumns({f"_before_{n}": F.when(first, column(saved[n]).cast(p.fields[n].pic.spark_type())).otherwise(F.col(f"_left_{n}")) for n in left})
+
     def _grows(self, c: tuple, m: str) -> bool:
         return c[0] in (">", ">=") if c[2][1] == m else c[0] in ("<", "<=")
 
