@@ -5,8 +5,8 @@ with q of int8; |e| is measured, not assumed. For two vectors |x.y - s*s'*(q.q')
 of integers (exact in float32: sums over EXACT dimensions stay below 2^24, and longer ones are added in double precision) finds all pairs that may reach the threshold; only they are computed again, in double
 precision, from the original components. Vectors are dealt into tiles by their nearest pivot, and two pivots' tiles meet only if the
 angle between the pivots is within both radii and the threshold's angle (triangle inequality), so that what can't hold a link is never
-multiplied. A pair of tiles is the unit of work and returns at most one row per vector: its number of links there, and the root of
-its local component, not the pairs.
+multiplied. A task holds a group of up to HELD tiles of one pivot and meets the other tiles one by one; each pair of tiles returns at most
+one row per vector: its number of links there, and the root of its local component, not the pairs.
 
 Vectors that are null, zero or hold null or non-finite components: n_links 0, their own component. Vectors of different lengths are
 never linked. Null vec_id: returned with n_links 0 and a null component, kept. Repeated rows (one vec_id twice) count as two vectors.
@@ -26,6 +26,8 @@ from .common import components, cut, table, wide
 from .vectors import k_means, matrix, nearest, sample, usable
 
 THRESHOLD, TILE, PIVOTS, FIT_ROWS, BLOCK = 0.95, 4096, 8, 4096, 1024
+#: Tiles that a task holds at most, and bytes of vectors in a tile.
+HELD, TILE_BYTES = 16, 4 << 20
 #: Added to bounds for the rounding of float32 factors and of the measured norms.
 SLACK = 1e-5
 #: Dimensions whose products of two int8 digits add up to less than 2^24.
@@ -105,6 +107,7 @@ def near_duplicates(vectors: DataFrame, id_name: str = "vec_id", vector_name: st
     pivots = k_means(fitted / np.sqrt((fitted**2).sum(1, keepdims=True)), PIVOTS, 6)
     pivots /= np.maximum(np.sqrt((pivots**2).sum(1, keepdims=True)), 1e-12)
     d = pivots.shape[1]
+    tile = max(min(tile, TILE_BYTES // (8 * d)), 1)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,44 +127,51 @@ def near_duplicates(vectors: DataFrame, id_name: str = "vec_id", vector_name: st
     # As many rows as pivots and other lengths come to the driver.
     groups = at.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()
     tiles = {g.pivot: -(-g.n // tile) for g in groups}
+    # A task holds so many tiles of one pivot and meets the others one by one, so that a tile is sent once a group, not once a pair.
+    held = min(max(sum(tiles.values()) // (2 * wide(vectors)), 1), HELD)
     reach = float(np.arccos(threshold)) + 1e-6
-    meets = []
+    meets: dict[int, list[int]] = {}  # of a pivot's tiles, the pivots whose groups they meet
     for a in groups:
         for b in groups:
-            if a.pivot == b.pivot or 0 <= a.pivot < b.pivot and b.pivot >= 0 and np.arccos(np.clip(pivots[a.pivot] @ pivots[b.pivot], -1, 1)) <= a.radius + b.radius + reach:
-                meets.append((a.pivot, tiles[a.pivot], b.pivot, tiles[b.pivot]))
-    n_tiles = F.lit(1)
-    for p, n in tiles.items():
-        n_tiles = F.when(F.col("pivot") == p, n).otherwise(n_tiles)
-    tiled = at.withColumn("tile", F.pmod(F.xxhash64("holder"), n_tiles))
+            if a.pivot == b.pivot or 0 <= a.pivot < b.pivot and np.arccos(np.clip(pivots[a.pivot] @ pivots[b.pivot], -1, 1)) <= a.radius + b.radius + reach:
+                meets.setdefault(b.pivot, []).append(a.pivot)
+    by_pivot = lambda f: F.element_at(F.create_map(*(F.lit(x) for p in tiles for x in (p, f(p)))), F.col("pivot"))
+    tiled = at.withColumn("tile", F.pmod(F.xxhash64("holder"), by_pivot(lambda p: tiles[p])))
     packed = cut(tiled.groupBy("pivot", "tile").agg(F.collect_list(F.struct("holder", "size", "vector")).alias("x")))  # about tile vectors each
-    pairs = spark.createDataFrame(meets, "p long, np long, q long, nq long")
-    pairs = pairs.withColumn("i", F.explode(F.expr("sequence(0l, np - 1)"))).withColumn("j", F.explode(F.expr("sequence(if(p = q, i, 0l), nq - 1)"))).select("p", "i", "q", "j").repartition(wide(vectors))
+    groups_of = spark.createDataFrame([(q, p, -(-tiles[p] // held)) for q, ps in meets.items() for p in ps], "pivot long, p long, n long")  # rows follow from the number of pivots
+    left = packed.select(F.col("pivot").alias("p"), F.expr(f"tile div {held}").alias("g"), F.lit(0).alias("turn"), "pivot", "tile", "x")
+    right = packed.join(F.broadcast(groups_of), "pivot").withColumn("g", F.explode(F.expr("sequence(0l, n - 1)"))).where(f"p <> pivot or g * {held} <= tile")
+    met = left.unionByName(right.select("p", "g", F.lit(1).alias("turn"), "pivot", "tile", "x")).repartition(max(wide(vectors), sum(-(-n // held) for n in tiles.values())), "p", "g")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []  # a group, and its tiles: number, holders, sizes and vectors
         for b in batches:
-            for k in range(b.num_rows):
-                same = b.column("p")[k] == b.column("q")[k] and b.column("i")[k] == b.column("j")[k]
-                sides = []
-                for c in ("x", "y")[: 1 if same else 2]:
-                    s = b.column(c)[k].values
-                    sides.append((s.field("holder").to_numpy(), s.field("size").to_numpy(), matrix(s.field("vector"))))
-                (ids, size, x), n = sides[0], len(sides[0][0])
-                if not same:
-                    ids, size = np.concatenate([ids, sides[1][0]]), np.concatenate([size, sides[1][1]])
-                found = np.zeros(len(ids), np.int64)
-                label = np.arange(len(ids))
-                for i, j in tile_links(x, x if same else sides[1][2], same, threshold):
-                    j = j if same else j + n
-                    np.add.at(found, i, size[j])
-                    np.add.at(found, j, size[i])
-                    label = roots(len(ids), np.concatenate([i, np.arange(len(ids))]), np.concatenate([j, label]))
-                some = np.flatnonzero(found)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(found[some]), pa.array(ids[label[some]])], ["a", "n", "b"])
-
-    side = lambda p, i, c: packed.select(F.col("pivot").alias(p), F.col("tile").alias(i), F.col("x").alias(c))
-    met = pairs.join(side("p", "i", "x"), ["p", "i"]).join(side("q", "j", "y"), ["q", "j"]).select("p", "i", "q", "j", "x", "y")
-    found = cut(met.mapInArrow(links, "a long, n long, b long"))
+            key = list(zip(*(b.column(c).to_pylist() for c in ("p", "g", "turn", "pivot", "tile"))))
+            for k, (p, g, turn, pivot, number) in enumerate(key):
+                if (p, g) != now:
+                    now, own = (p, g), []
+                s = b.column("x")[k].values
+                one = (number, s.field("holder").to_numpy(), s.field("size").to_numpy(), matrix(s.field("vector")))
+                if not turn:
+                    own.append(one)
+                    continue
+                for other in own:
+                    same = p == pivot and other[0] == number
+                    if p == pivot and other[0] > number:
+                        continue
+                    ids, size = (one[1], one[2]) if same else (np.concatenate([other[1], one[1]]), np.concatenate([other[2], one[2]]))
+                    found = np.zeros(len(ids), np.int64)
+                    label = np.arange(len(ids))
+                    for i, j in tile_links(one[3] if same else other[3], one[3], same, threshold):
+                        j = j if same else j + len(other[1])
+                        np.add.at(found, i, size[j])
+                        np.add.at(found, j, size[i])
+                        label = roots(len(ids), np.concatenate([i, np.arange(len(ids))]), np.concatenate([j, label]))
+                    some = np.flatnonzero(found)
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(found[some]), pa.array(ids[label[some]])], ["a", "n", "b"])
+
+    found = cut(met.sortWithinPartitions("p", "g", "turn", "pivot", "tile").mapInArrow(links, "a long, n long, b long"))
     label = cut(components(found.select("a", "b")))
     n = found.groupBy("a").agg(F.sum("n").alias("n"))
     held = classes.join(n, classes.holder == n.a, "left").join(label, classes.holder == label.node, "left")
