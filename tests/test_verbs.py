@@ -220,3 +220,23 @@ DONE-X.
 def test_report_verbs_are_noted(spark):
     p = shown(spark, _program("01 A PIC 9.", "    INITIATE REP. GENERATE LINE-X. TERMINATE REP. DISPLAY A."))
     assert p.display == ["0"] and [d.level for d in p.diagnostics] == ["WARNING"] * 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+
+    from ledgerframe.cobol.__main__ import main
+
+    (tmp_path / "rec.cpy").write_text("01 A PIC 9(2) VALUE 40.\n")
+    (tmp_path / "p.cbl").write_text(_program("COPY REC.", "    ADD 2 TO A. DISPLAY 'A ' A. MOVE 3 TO RETURN-CODE. STOP RUN."))
+    assert main(["check", f"{tmp_path}/p.cbl"]) == 0 and main([f"{tmp_path}/p.cbl"]) == 3
+    assert capsys.readouterr().out == "A 42\n"
+    assert main(["build", f"{tmp_path}/p.cbl"]) == 0
+    (tmp_path / "bad.cbl").write_text(_program("01 A PIC 9.", "    FROBNICATE A."))
+    assert main(["build", f"{tmp_path}/bad.cbl"]) == 1 and not (tmp_path / "bad.py").exists()
+    assert "ERROR" in capsys.readouterr().err
+    script = (tmp_path / "p.py").read_text()
+    assert "COPY" not in script.upper().replace("COPYBOOK", "")
+    (tmp_path / "rec.cpy").unlink()
+    scope = {"__name__": "made"}
+    exec(compile(script, "p.py", "exec"), scope)
+    assert scope["finished"](scope["Program"](scope["SOURCE"]), []) == 3 and capsys.readouterr().out == "A 42\n"
