@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices, table
 from .hashing import joined, mix, prefix, spans
 
-BUCKETS, FIT_ROWS, SMOOTH, SEED = 1 << 15, 20_000, 20.0, 17
+BUCKETS, FIT_ROWS, SMOOTH, SEED = 1 << 16, 20_000, 10.0, 17
 #: Intervals counted at once, and documents that are ordered one by one in the last.
 CELLS, SALTS = 4096, 256
 _CLASS = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if c >= 128 or chr(c).isalnum() else 2 for c in range(256)], np.int8)
