@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerframe.llm import importance, minhash, mixing, packing, pii
 from ledgerframe.llm.common import cut, shared_folder, table
+from ledgerframe.sources import folders
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words in a shingle of the near-duplicate stage.
@@ -76,4 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if k:  # what the stage before left is no longer needed
+            folders.delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
