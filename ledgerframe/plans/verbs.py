@@ -329,6 +329,35 @@ COPY PERSON REPLACING ==:TAG:== BY ==IN==. COPY PERSON REPLACING ==:TAG:== BY ==
     return _shown(spark, p)
 
 
+PAYROLL = _program(
+    "01 E PIC X VALUE 'N'. 01 EXTRA PIC S9(7)V99. 01 TAX-RATE PIC SV9(4) VALUE 0.2200. 01 ALL-NET PIC S9(13)V99 VALUE 0.",
+    """    OPEN INPUT STAFF OUTPUT PAID.
+    PERFORM UNTIL E = 'Y'
+      READ STAFF AT END MOVE 'Y' TO E NOT AT END PERFORM PAY-ONE END-READ
+    END-PERFORM.
+    CLOSE STAFF PAID. DISPLAY ALL-NET. STOP RUN.
+PAY-ONE.
+    COMPUTE GROSS = HOURS * RATE. MOVE 0 TO EXTRA.
+    IF HOURS > 40 COMPUTE EXTRA = (HOURS - 40) * RATE * 0.5 END-IF.
+    ADD EXTRA TO GROSS. COMPUTE TAX ROUNDED = GROSS * TAX-RATE. SUBTRACT TAX FROM GROSS GIVING NET.
+    ADD NET TO ALL-NET. MOVE S-KEY TO K. WRITE P-REC.""",
+    "    SELECT STAFF ASSIGN TO S. SELECT PAID ASSIGN TO P.",
+    "FD STAFF. 01 S-REC. 05 S-KEY PIC 9(9). 05 HOURS PIC 9(3). 05 RATE PIC S9(3)V99.\nFD PAID. 01 P-REC. 05 K PIC 9(9). 05 GROSS PIC S9(7)V99. 05 TAX PIC S9(7)V99. 05 NET PIC S9(7)V99.",
+)
+
+
+@query("""select k, cast(g as decimal(9,2)) gross, cast(round(g * 0.22, 2) as decimal(9,2)) tax, cast(g - round(g * 0.22, 2) as decimal(9,2)) net
+from (select k, cast(cast(trunc(h * r * 100) as decimal(18,0)) * 0.01 as decimal(12,2)) + case when h > 40 then cast(cast(trunc((h - 40) * r * 50) as decimal(18,0)) * 0.01 as decimal(12,2)) else 0 end as g
+from (select c_custkey k, cast(c_custkey % 60 as decimal(3,0)) h, cast(abs(cast(c_acctbal as decimal(15,2))) % 100 as decimal(5,2)) r from customer))""")
+def cobol_program_payroll(spark: SparkSession, d: str) -> DataFrame:
+    """A payroll: gross with overtime, tax rounded, net, and their total."""
+    staff = read(spark, d, "customer").select(F.col("c_custkey").alias("s_key"), (F.col("c_custkey") % 60).alias("hours"), (F.abs(money("c_acctbal")) % 100).cast("decimal(5,2)").alias("rate"))
+    p = Program(PAYROLL).run(spark, tables={"STAFF": staff}, paths={"P": None})
+    if any(v.level != "INFO" for v in p.diagnostics):
+        raise ValueError(p.diagnostics)
+    return p.output(p.files["PAID"]).toDF("k", "gross", "tax", "net").withColumn("k", F.col("k").cast("long"))
+
+
 SORTED = """    SELECT ORDERS ASSIGN TO O. SELECT W ASSIGN TO W. SELECT OUT-FILE ASSIGN TO OUT."""
 
 
