@@ -240,6 +240,19 @@ class Program:
 
         inputs: lines for ACCEPT; methods: functions of Columns for INVOKE, by name; hooks: by file name, what is called on "open" and "close".
         """
+        self._begin(spark, paths, tables, programs, inputs, methods, hooks)
+        for name, v in zip(self.using, arguments or []):
+            self.assign(("ref", name, [], None), v)
+        try:
+            self.through(list(self.paragraphs))
+        except Stop:
+            pass
+        for f in self.files.values():
+            self._flush(f)
+        return self
+
+    def _begin(self, spark: SparkSession, paths: dict | None, tables: dict | None, programs: dict | None, inputs: list[str] | None = None, methods: dict | None = None, hooks: dict | None = None) -> None:
+        """All fields and files as at the start of a run."""
         bad = [d.text for d in self.diagnostics if d.level == "ERROR"]
         if bad:
             raise UnsupportedVerbError("; ".join(bad))
@@ -258,15 +271,6 @@ class Program:
                     up = f.value.upper()
                     start = values.filled(up, f) if up in moves.FIGURATIVE else values.moved(V(f.value), f) if f.pic.category != "edited" else V(f.value.ljust(f.pic.size), False, f)
                 self.env[f.name] = [start] * n if (n := self.occurs(f.name)) > 1 else start
-        for name, v in zip(self.using, arguments or []):
-            self.assign(("ref", name, [], None), v)
-        try:
-            self.through(list(self.paragraphs))
-        except Stop:
-            pass
-        for f in self.files.values():
-            self._flush(f)
-        return self
 
     def through(self, names: list[str]) -> None:
         """Paragraphs in their order; GO TO one of them goes on from there, to another one leaves."""
@@ -822,22 +826,52 @@ class Program:
         return set().union(*map(self._subscripts, tree)) if isinstance(tree, (list, tuple)) and tree else set()
 
     def do_call(self, program: tuple, args: list, clauses: dict) -> None:
-        if self.loop is not None:
+        v = self.value(program)
+        if not v.known and self.loop is not None:
             raise Ordered
-        name = self.known(self.value(program)).value.strip().upper()
+        name = self.known(v).value.strip().upper()
         callee = self.programs.get(name)
         if callee is None:
             if "yes" not in clauses:
                 raise UnsupportedVerbError(f"no program {name}")
             self.block(clauses["yes"])
             return
-        callee.run(self.spark, self.paths, self.tables, self.programs, [self.known(self.value(e)) for _, e in args])
-        self.display += callee.display
-        for (how, e), own in zip(args, callee.using):
+        if self.loop is None:
+            callee.run(self.spark, self.paths, self.tables, self.programs, [self.known(self.value(e)) for _, e in args])
+            self.display += callee.display
+        else:
+            # A field that isn't set yet in this pass is unset for the callee, too.
+            unset = {own: e[1] for (_, e), own in zip(args, callee.using) if e[0] == "ref" and e[1] in self.env and self.env[e[1]] is None}
+            try:
+                callee.within(self, {own: None if own in unset else self.value(e) for (_, e), own in zip(args, callee.using)})
+                given = [callee.get(("ref", own, [], None)) if how == "REFERENCE" and e[0] == "ref" else None for (how, e), own in zip(args, callee.using)]
+            except Unset as x:
+                raise Unset(unset.get(x.name, x.name)) from None
+        for k, ((how, e), own) in enumerate(zip(args, callee.using)):
             if how == "REFERENCE" and e[0] == "ref":
-                self.assign(e, callee.get(("ref", own, [], None)))
+                self.assign(e, callee.get(("ref", own, [], None)) if self.loop is None else given[k])
         self.block(clauses.get("not", []))
 
+    def within(self, caller: Program, arguments: dict[str, V | None]) -> None:
+        """This program for each record of a caller's loop, as expressions: if all that it does is to compute, from its arguments only."""
+        order = [s for p in self.paragraphs.values() for s in p] if len([p for p in self.paragraphs.values() if p]) == 1 else None
+        if order is None:  # paragraphs behind the first that ends the program are reached by PERFORM only
+            first = next(p for p in self.paragraphs.values() if p)
+            order = first if first and first[-1][0] == "STOP" else None
+        if order is None:
+            raise Ordered
+        self._begin(caller.spark, caller.paths, caller.tables, caller.programs, methods=caller.methods)
+        self.loop = Called(caller.loop)
+        try:
+            for name, v in arguments.items():
+                if v is None:
+                    self.env[name] = None
+                else:
+                    self.assign(("ref", name, [], None), v)
+            self.block(order[:-1] if order and order[-1][0] == "STOP" else order)
+        finally:
+            self.loop = None
+
     # files
     def do_open(self, opened: list) -> None:
         for mode, name in opened:
@@ -1420,6 +1454,8 @@ class Loop:
                         targets(p.paragraphs[name])
                 elif tree[0] in ("STRING", "UNSTRING", "INSPECT", "INITIALIZE", "ACCEPT", "CALL", "SEARCH", "INVOKE"):
                     self.written.update(x.name for n in p._names(tree) if n in p.fields for x in p.leaves(p.fields[n]) if tree[0] not in ("CALL", "SEARCH"))
+                if tree[0] == "CALL":
+                    self.written.update(x.name for how, e in tree[2] if how == "REFERENCE" and e[0] == "ref" and e[1] in p.fields for x in p.leaves(p.fields[e[1]]))
                 if tree[0] == "READ" and len(tree) == 5:
                     targets(tree[4].get("not", []))  # what AT END does isn't part of a pass
                     return
@@ -1577,5 +1613,30 @@ class Loop:
         return c[0] in (">", ">=") if c[2][1] == m else c[0] in ("<", "<=")
 
 
+class Called:
+    """The loop of a caller, as the program sees it that it calls: conditions and checks are the caller's, no file is."""
+
+    def __init__(self, outer: Loop | Called):
+        self.outer, self.file, self.seen, self.key, self.joins = outer, None, False, None, []
+
+    @property
+    def guard(self) -> Column | None:
+        return self.outer.guard
+
+    @guard.setter
+    def guard(self, c: Column | None) -> None:
+        self.outer.guard = c
+
+    @property
+    def checks(self) -> list[Column]:
+        return self.outer.checks
+
+    def extremum(self, *_) -> None:
+        return None
+
+    def emit(self, *_) -> None:
+        raise Ordered
+
+
 def run(text: str, spark: SparkSession, folders: list[str] | None = None, **options) -> Program:
     return Program(text, folders).run(spark, **options)

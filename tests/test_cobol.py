@@ -291,3 +291,33 @@ def test_source(tmp_path):
     assert plain(fixed).split("\n")[0] == "IDENTIFICATION DIVISION." and "comment" not in plain(fixed)
     assert words("MOVE 'it''s' TO A-B(1:2). COMPUTE C = A -1")[1] == ("text", "it's")
     assert words("COMPUTE C = A -1")[-2:] == [("op", "-"), ("number", "1")]
+
+
+def test_call_in_a_loop_is_a_plan(spark):
+    sub = Program("""IDENTIFICATION DIVISION.
+PROGRAM-ID. FEE.
+DATA DIVISION.
+WORKING-STORAGE SECTION.
+01 BASE PIC S9(5)V99 VALUE 2.50.
+LINKAGE SECTION.
+01 AMOUNT PIC S9(5)V99.
+01 KIND PIC X.
+01 FEE PIC S9(5)V99.
+PROCEDURE DIVISION USING AMOUNT KIND FEE.
+MAIN-X.
+    PERFORM RATE-X. IF KIND = 'U' ADD BASE TO FEE END-IF. IF FEE > 50 MOVE 50 TO FEE END-IF. GOBACK.
+RATE-X.
+    COMPUTE FEE ROUNDED = AMOUNT * 0.1.
+""")
+    text = ORDERS + LOOPS["reads first"] + "\n    CLOSE ORDERS BIG. STOP RUN.\nONE.\n    CALL 'FEE' USING O-AMOUNT O-KIND NET. ADD NET TO TOTAL. MOVE O-KEY TO B-KEY. MOVE NET TO B-NET. WRITE BIG-REC.\n"
+    x = spark.range(200).selectExpr("id O_KEY", "cast(id * 5 + 0.25 as decimal(7,2)) O_AMOUNT", "if(id % 2 = 0, 'U', 'N') O_KIND")
+    p = run(text, spark, tables={"ORDERS": x}, paths={"big": None}, programs={"FEE": sub})
+    assert [d.level for d in p.diagnostics] == ["INFO"]
+    want = []
+    for i in range(200):
+        fee = (Decimal(i * 5) + Decimal("0.25")) * Decimal("0.1")
+        want.append((i, min(fee.quantize(Decimal("0.01"), "ROUND_HALF_UP") + (Decimal("2.50") if i % 2 == 0 else 0), Decimal(50))))
+    assert sorted((int(a), b) for a, b in p.output(p.files["BIG"]).collect()) == want and p.get(("ref", "TOTAL", [], None)).value == sum(f for _, f in want)
+    said = Program(sub.text.replace("PERFORM RATE-X.", "DISPLAY KIND. PERFORM RATE-X."))
+    p = run(text, spark, tables={"ORDERS": x.limit(3)}, paths={"big": None}, programs={"FEE": said})
+    assert p.diagnostics[0].level == "WARNING" and len(p.display) == 3  # what it displays is one thing after the other
