@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..sources import folders
 
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -32,18 +32,20 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the folder that the cluster shares and returns what is read from there; its shuffle files are no longer needed and go.
 
-    Rows pass to Python at most BATCH_ROWS at a time, as whole texts are in them.
+    Rows pass to Python at most BATCH_ROWS and about BATCH_BYTES at a time, as whole texts are in them.
     """
     shared_folder(df.sparkSession)
     conf = df.sparkSession.conf
-    cleanup, rows = conf.get(_CLEANUP, "false"), conf.get(_BATCH, "10000")
+    before = {k: conf.get(k, None) for k in (_CLEANUP, _BATCH, _BYTES)}
+    rows = int(before[_BATCH] or 0)
     conf.set(_CLEANUP, "true")
-    conf.set(_BATCH, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+    conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    conf.set(_BYTES, f"{BATCH_BYTES}b")
     try:
         return df.select("*").checkpoint(eager=True)  # a plan of its own: the settings are read when a plan is made
     finally:
-        conf.set(_CLEANUP, cleanup)
-        conf.set(_BATCH, rows)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def give_back() -> None:
@@ -95,7 +97,8 @@ def components(edges: DataFrame) -> DataFrame:
     for step in reversed(steps[:-1]):
         label = step.alias("s").join(label.alias("l"), F.col("s.p") == F.col("l.u"), "left").select("s.u", F.coalesce("l.p", "s.p").alias("p"))
     least = label.groupBy("p").agg(F.min("u").alias("component")).select(unplaced("p"), "component")
-    return label.join(least, "p").select(F.col("u").alias("node"), "component")
+    # By node again, as all that use it join it so; a large component's nodes are together before.
+    return label.join(least, "p").select(F.col("u").alias("node"), "component").repartition("node")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
