@@ -43,7 +43,7 @@ FLIPPED = 77
 SURE = 24
 DEALS, PAIRS = 4, 2000
 #: Members of a bucket in a block, and shingles of a block or a chunk, on average.
-BLOCK, CHUNK = 512, 50_000
+BLOCK, CHUNK = 256, 50_000
 #: What a row costs besides its shingles, in shingles.
 ROW = 100
 _INSIDE = np.ones(256, bool)
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for _, texts in slices(batch.column("text").to_pylist(), 2 << 20):
+            for _, texts in slices(batch.column("text").to_pylist(), 1 << 20):
                 texts = [b" ".join(split(t)) for t in texts]
                 digest = np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
                 sh, first = hashed(texts, n)
@@ -373,3 +373,15 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') w from documents),
+ s as (select doc_id, case when len(w) < {SHINGLE} then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end sh from w),
+ n as (select doc_id, len(sh)::bigint n from s),
+ x as (select doc_id, unnest(sh) t from s),
+ c as (select p.doc_id a, q.doc_id b, count(*) c from x p join x q on p.t = q.t and p.doc_id < q.doc_id group by all),
+ e as (select a, b from c join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= {THRESHOLD} * (na.n + nb.n - c)),
+ l as (select a, b from e union all select b, a from e),
+ r as (select doc_id a, doc_id b from documents union select r.a, l.b from r join l on r.b = l.a),
+ m as (select a doc_id, min(b) component_id from r group by a)
+select doc_id, n n_shingles, component_id, doc_id = component_id kept from n join m using (doc_id)"""

@@ -24,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 SQL: dict[str, str] = {
+    "op3_suffix_dedup": substring_dedup.SQL,
+    "op4_minhash": minhash.SQL,
     "op6_mixing": mixing.SQL,
     "op5_embedding_dedup": """with recursive v as (select vec_id, embedding::double[] x from embeddings),
  u as (select * from v where x is not null and len(list_filter(x, lambda c: c is null or isnan(c) or isinf(c))) = 0 and len(list_filter(x, lambda c: c <> 0)) > 0),
