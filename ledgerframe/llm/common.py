@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources import folders
 
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -132,6 +132,7 @@ def per_row(df: DataFrame, keep: list[str], column: str, rows: Callable[[list],
             made = list(zip(*rows(b.column(column).to_pylist()))) or [()] * len(fields)
             arrays = [b.column(k) for k in keep] + [pa.array(v, types[t]) for v, (_, t) in zip(made, fields)]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *(n for n, _ in fields)])
+        give_back()
 
     own = dict(df.dtypes)
     return df.select(*keep, column).mapInArrow(run, ", ".join([*(f"{k} {own[k]}" for k in keep), schema]))

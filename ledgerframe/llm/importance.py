@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
-from .hashing import joined, mix, prefix, spans
+from .common import cut, give_back, slices, table
+from .hashing import joined, mix, word_hashes
 
 BUCKETS, FIT_ROWS, SMOOTH, SEED = 1 << 16, 20_000, 10.0, 17
 #: Intervals counted at once, and documents that are ordered one by one in the last.
 CELLS, SALTS = 4096, 256
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 20
 _CLASS = np.array([0 if c in (9, 10, 11, 12, 13, 32) else 1 if c >= 128 or chr(c).isalnum() else 2 for c in range(256)], np.int8)
 
 
@@ -43,7 +45,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     s, e = change[:-1], change[1:]
     keep = c[s + 1] > 0
     s, e = s[keep], e[keep]
-    h = spans(prefix(data), s, e)
+    h = word_hashes(data, s, e)
     doc = np.searchsorted(starts, s, "right") - 1
     m = max(len(h) - 1, 0)
     near = doc[:m] == doc[1:]
@@ -58,10 +60,11 @@ def counts(docs: DataFrame, at_once: int = 1 << 11) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, texts in slices(batch.column("text").to_pylist(), 2 << 20):
+            for _, texts in slices(batch.column("text").to_pylist(), SLICE):
                 total += np.bincount(features(texts)[0], minlength=BUCKETS)
         parts = total.reshape(-1, at_once)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "n"])
+        give_back()
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(at_once, np.int64)
@@ -96,9 +99,10 @@ def scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = [weights(texts, ratio) for _, texts in slices(batch.column("text").to_pylist(), 2 << 20)]
+            w = [weights(texts, ratio) for _, texts in slices(batch.column("text").to_pylist(), SLICE)]
             w = np.concatenate(w) if w else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w, mask=np.isnan(w))], ["doc_id", "weight"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, weight double")
 
