@@ -68,31 +68,42 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
+_OF_LENGTH = mix(np.arange(1, LONG + 2, dtype=np.uint64))
+
+
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A hash of each span of data: its length, then 8 bytes at a time, mixed; no sum of terms by place, so that no family of words collides.
 
     Of words of one length of at most 8 bytes no two are equal.
     """
     n, eight = e - s, eights(data)
-    h = mix((n + 1).astype(np.uint64))
-    for k in range(0, min(LONG, int(n.max(initial=0))), 8):
-        on = np.flatnonzero((n > k) & (n <= LONG)) if k else np.flatnonzero(n <= LONG)
+    h = mix(_OF_LENGTH[np.minimum(n, LONG)] ^ (eight[s] & _MASK[np.minimum(n, 8)]))
+    on = np.flatnonzero(n > 8)
+    for k in range(8, LONG, 8):
+        if not len(on):
+            break
         h[on] = mix(h[on] ^ (eight[s[on] + k] & _MASK[np.minimum(n[on] - k, 8)]))
-    for i in np.flatnonzero(n > LONG):
+        on = on[n[on] > k + 8]
+    for i in on:
         h[i] = int.from_bytes(hashlib.blake2b(data[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
     return h
 
 
 def same_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Whether each span is, byte by byte, that with the number in first."""
-    n, eight = e - s, eights(data)
-    t = s[first]
-    ok = n == (e[first] - t)
-    for k in range(0, min(LONG, int(n.max(initial=0))), 8):
-        on = np.flatnonzero(ok & (n > k) & (n <= LONG)) if k else np.flatnonzero(ok & (n <= LONG))
-        ok[on] = ((eight[s[on] + k] ^ eight[t[on] + k]) & _MASK[np.minimum(n[on] - k, 8)]) == 0
-    for i in np.flatnonzero(ok & (n > LONG)):
-        ok[i] = data[s[i] : e[i]].tobytes() == data[t[i] : t[i] + n[i]].tobytes()
+    """Whether each span is, byte by byte, that with the number in first, which has the same word_hashes()."""
+    n = e - s
+    ok = n == n[first]
+    on = np.flatnonzero(ok & (n > 8) & (first != np.arange(len(first))))  # shorter ones of one length and hash are equal
+    eight = eights(data)
+    for k in range(0, LONG, 8):
+        if not len(on):
+            break
+        t = s[first[on]]
+        ok[on] = ((eight[s[on] + k] ^ eight[t + k]) & _MASK[np.minimum(n[on] - k, 8)]) == 0
+        on = on[ok[on] & (n[on] > k + 8)]
+    for i in on:
+        t = s[first[i]]
+        ok[i] = data[s[i] : e[i]].tobytes() == data[t : t + n[i]].tobytes()
     return ok
 
 

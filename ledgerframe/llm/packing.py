@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SIZE, end: i
             at = 0
             while at < len(ids):
                 to, n = at, 0
-                while to < len(ids) and (to == at or n + len(texts[to] or "") <= 2 << 20):
+                while to < len(ids) and (to == at or n + len(texts[to] or "") <= 1 << 20):
                     n += len(texts[to] or "")
                     to += 1
                 rows = []
