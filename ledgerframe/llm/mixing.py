@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-MAX_EPOCHS, SEED, SLICE, DIGITS = 4, 17, 1024, 3
+MAX_EPOCHS, SEED, SLICE, DIGITS = 4, 17, 1024, 2
 #: Leaves whose plan is broadcast, at about 100 bytes each; beyond, a leaf's rows are dealt to SALTS parts.
 LEAVES, SALTS = 100_000, 64
 LEVELS = ("domain", "tree_lang", "tree_source")
