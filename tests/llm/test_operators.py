@@ -124,6 +124,31 @@ def test_substrings(spark, documents, monkeypatch, hot, direct):
     assert sorted((str(r[0]), *r[1:]) for r in substring_dedup.deduplicate(fixture(spark)).collect()) == brute_substrings(DOCS)
 
 
+def test_substrings_in_rounds(spark, documents, monkeypatch, tmp_path):
+    for name, value in (("MEASURED", 20), ("ROUND", 2), ("HOT", 3)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    batched, sent, seen = substring_dedup.batched, substring_dedup._sent, f"{tmp_path}/seen"
+
+    def noted(batch, told, parts, window, turn=0, rounds=1):
+        with open(seen, "a") as f:
+            f.write(f"{turn} of {rounds}\n")
+        return sent(batch, told, parts, window, turn, rounds)
+
+    monkeypatch.setattr(substring_dedup, "_sent", noted)
+    monkeypatch.setattr(substring_dedup, "batched", lambda docs: batched(docs, 20_000))
+    rows = [(i + 100_000 * k, t) for k in range(2) for i, t in documents]
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == brute_substrings(rows)
+    assert "1 of" in Path(seen).read_text()
+
+
+def test_substrings_leave_little_on_disk(spark, documents):
+    """Batches aren't shuffled again, and what a step was sent is gone when the next begins."""
+    df = spark.createDataFrame(documents, "doc_id long, text string").repartition(3)
+    plan = substring_dedup.deduplicate(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "MapInArrow" not in plan and plan.count("FlatMapCoGroupsInPandas") == 1
+
+
 def test_bundles():
     keys, bodies = [5, -1, 1 << 40], [b"", b"abc", b"x" * 1000]
     assert list(substring_dedup.unbundle(substring_dedup.bundle(keys, bodies))) == list(zip(keys, bodies))
