@@ -11,7 +11,7 @@ from ..functions import conditions, moves, numeric
 from ..operators import records
 from ..picture import PACKED, Field, Layout, picture
 from ..sources import codec, files, folders, registry, store
-from ..sources.jdbc import Connection
+from ..sources.jdbc import embedded
 from .catalog import kept, money, query, read
 
 CUSTOMER = Layout.of("CUSTOMER", Field("K", picture("9(9)")), Field("NAME", picture("X(25)")), Field("BALANCE", picture("S9(9)V99"), PACKED))
@@ -160,8 +160,8 @@ def codec_registry(spark: SparkSession, d: str) -> DataFrame:
 @query("select s_suppkey, s_name as name, cast(s_acctbal as decimal(11,2)) balance from supplier where s_nationkey < 10")
 def jdbc_table(spark: SparkSession, d: str) -> DataFrame:
     """A table of a database, written and read with a condition and columns pushed down."""
-    c = Connection(spark, f"jdbc:derby:memory:q{uuid.uuid4().hex};create=true", options={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
-    c.write(read(spark, d, "supplier").select(F.col("s_suppkey").alias("K"), F.col("s_name").alias("NAME"), F.col("s_acctbal").cast("decimal(11,2)").alias("BALANCE"), F.col("s_nationkey").alias("NATION")), "SUPPLIER", mode="overwrite")
+    x = read(spark, d, "supplier").select(F.col("s_suppkey").alias("K"), F.col("s_name").alias("NAME"), F.col("s_acctbal").cast("decimal(11,2)").alias("BALANCE"), F.col("s_nationkey").alias("NATION"))
+    c = embedded(x, "SUPPLIER", place(spark))
     return c.table("SUPPLIER").where("NATION < 10").select(F.col("K").alias("s_suppkey"), F.col("NAME").alias("name"), F.col("BALANCE").alias("balance"))
 
 

@@ -1,7 +1,12 @@
 """Fixed and varying files, relative numbers, file sorts, print lines, record stores, codecs and moves."""
 
+import os
+import subprocess
+import sys
 from decimal import Decimal
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +122,29 @@ def test_jdbc(spark, data, tmp_path):
     assert c.table("T1", "K", (0, 10), 3).count() == 10 and c.query("select K from T1 where K < 4").count() == 4
     c.view("T1", "t_jdbc")
     assert spark.sql("select sum(V) from t_jdbc").first()[0] == Decimal("37.50")
+
+
+def test_jdbc_on_executors(tmp_path):
+    """Executors are other processes: what they read isn't in the driver's memory."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from ledgerframe.plans import QUERIES
+from ledgerframe.sources.jdbc import embedded
+got = QUERIES["jdbc_table"](spark, "/root/testdata/sf0.001")
+print("query", sorted(map(tuple, got.collect())) == sorted(map(tuple, spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").where("s_nationkey < 10").selectExpr("s_suppkey", "s_name", "cast(s_acctbal as decimal(11,2))").collect())), got.count())
+rows = [(1, 'a "b", c'), (2, None), (3, ""), (4, "two\\nlines, \u00e9"), (None, "x")]
+x = spark.createDataFrame(rows, "K long, T string")
+print("odd", sorted(map(tuple, embedded(x, "T1", "file://{tmp_path}/shared/a").table("T1").repartition(2).collect()), key=str) == sorted(rows, key=str))
+print("none", embedded(x.limit(0), "T1", "file://{tmp_path}/shared/b").table("T1").count())
+"""
+    home = tmp_path / "home"  # executors work in Spark's home
+    home.mkdir()
+    for x in Path(pyspark.__file__).parent.iterdir():
+        if x.name != "work":
+            (home / x.name).symlink_to(x)
+    env = {k: v for k, v in os.environ.items() if k != "PYSPARK_GATEWAY_PORT"} | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert [x.split()[:2] for x in run.stdout.splitlines()[-3:]] == [["query", "True"], ["odd", "True"], ["none", "0"]], run.stdout + run.stderr[-3000:]
